@@ -17,6 +17,8 @@ samples, and a sample far above the average is a spike. Here it runs in parallel
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -102,22 +104,62 @@ def error_rate(entries: DataFrame, key: str | None = None, window_secs: int = WI
     )
 
 
-def _steps(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Last sample of a block as a step function of the first sampled time in it."""
-    times = np.sort(pdf["us"].to_numpy())
-    size = len(times)
-    follow = np.searchsorted(times, times + SECOND)
-    last = np.where(follow < size, follow, np.arange(size))
-    while True:
-        further = last[last]
-        if np.array_equal(further, last):
-            break
-        last = further
-    start = pdf["block_start"].iloc[0]
-    entries = min(int(np.searchsorted(times, start + SECOND)), size - 1) + 1
-    leaves = times[last[:entries]]
-    ends = np.append(np.flatnonzero(leaves[1:] != leaves[:-1]), entries - 1)
-    return pd.DataFrame({"key": pdf["key"].iloc[0], "block": pdf["block"].iloc[0], "up_to": times[ends], "leaves": leaves[ends]})
+def _by_block(df: DataFrame, block: str, function, schema: str) -> DataFrame:
+    """Apply ``function`` to runs of whole ``(key, block)`` groups, sorted by ``us``.
+
+    Many small groups are handed over together, a large one is collected from its
+    batches; no more than one large group is held at a time.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            last = (batch["key"] == batch["key"].iloc[-1]) & (batch[block] == batch[block].iloc[-1])
+            if held and last.all() and (held[-1]["key"].iloc[-1], held[-1][block].iloc[-1]) == (
+                batch["key"].iloc[-1], batch[block].iloc[-1]
+            ):
+                held.append(batch)
+                continue
+            complete = pd.concat([*held, batch[~last]])
+            if len(complete):
+                yield function(complete)
+            held = [batch[last]]
+        if held:
+            yield function(pd.concat(held))
+
+    placed = df.repartition("key", block).sortWithinPartitions("key", block, "us")
+    return placed.mapInPandas(run, schema)
+
+
+def _groups(pdf: pd.DataFrame, block: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the ``(key, block)`` groups of sorted rows."""
+    keys, blocks = pdf["key"].to_numpy(), pdf[block].to_numpy()
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])))
+    return zip(starts, np.append(starts[1:], len(pdf)))
+
+
+def _steps(window_us: int):
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Last sample of each block as a step function of the first sampled time in it."""
+        keys, blocks, all_times = pdf["key"].to_numpy(), pdf["block"].to_numpy(), pdf["us"].to_numpy()
+        out = []
+        for a, b in _groups(pdf, "block"):
+            times, size = all_times[a:b], b - a
+            follow = np.searchsorted(times, times + SECOND)
+            last = np.where(follow < size, follow, np.arange(size))
+            while True:
+                further = last[last]
+                if np.array_equal(further, last):
+                    break
+                last = further
+            first_second = np.searchsorted(times, blocks[a] * window_us + SECOND)
+            reachable = min(int(first_second), size - 1) + 1
+            leaves = times[last[:reachable]]
+            ends = np.append(np.flatnonzero(leaves[1:] != leaves[:-1]), reachable - 1)
+            out.extend((keys[a], blocks[a], times[e], leaves[e]) for e in ends)
+        return pd.DataFrame(out, columns=["key", "block", "up_to", "leaves"])
+    return steps
 
 
 def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,19 +178,19 @@ def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _ticks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Samples of one block, given the last sample before it."""
-    known = pdf["state"].notna()
-    threshold = int(pdf.loc[known, "state"].iloc[0]) + SECOND
-    points = pdf[~known].sort_values("us")
-    times = points["us"].to_numpy(dtype=np.int64)
-    chosen, at = [], int(np.searchsorted(times, threshold))
-    while at < len(times):
-        chosen.append(at)
-        at = int(np.searchsorted(times, times[at] + SECOND))
-    picked = points.iloc[chosen]
+    """Samples of each block; its first row carries the last sample before it."""
+    states, all_times = pdf["state"].to_numpy(), pdf["us"].to_numpy()
+    chosen = []
+    for a, b in _groups(pdf, "block"):
+        times = all_times[a + 1 : b]
+        at = int(np.searchsorted(times, int(states[a]) + SECOND))
+        while at < len(times):
+            chosen.append(a + 1 + at)
+            at = int(np.searchsorted(times, times[at] + SECOND))
+    picked = pdf.iloc[chosen]
     return pd.DataFrame({
-        "key": picked["key"], "us": picked["us"].astype("int64"),
-        "rate": picked["earlier"].astype("float64") + 1.0, "service": picked["first_service"],
+        "key": picked["key"], "us": picked["us"], "rate": picked["earlier"].astype("float64") + 1.0,
+        "service": picked["first_service"],
     })
 
 
@@ -166,15 +208,16 @@ def _carry(alpha: float):
 
 def _replay(alpha: float, factor: float):
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Spikes of one day, given the average at its start."""
-        known = pdf["average"].notna()
-        average = float(pdf.loc[known, "average"].iloc[0])
-        ticks = pdf[~known].sort_values("us")
+        """Spikes of each day; its first row carries the average at its start."""
+        keys, times, rates = pdf["key"].to_numpy(), pdf["us"].to_numpy(), pdf["rate"].to_numpy()
+        services, averages = pdf["service"].to_numpy(), pdf["average"].to_numpy()
         spikes = []
-        for us, rate, service in zip(ticks["us"], ticks["rate"], ticks["service"]):
-            average = alpha * rate + (1.0 - alpha) * average
-            if average > 1.0 and rate >= factor * average:
-                spikes.append((pdf["key"].iloc[0], int(us), rate, average, rate / average, service))
+        for a, b in _groups(pdf, "day"):
+            average = averages[a]
+            for i in range(a + 1, b):
+                average = alpha * rates[i] + (1.0 - alpha) * average
+                if average > 1.0 and rates[i] >= factor * average:
+                    spikes.append((keys[i], times[i], rates[i], average, rates[i] / average, services[i]))
         return pd.DataFrame(spikes, columns=["key", "us", "rate", "baseline", "factor", "service"])
     return replay
 
@@ -183,11 +226,13 @@ def sample_ticks(entries: DataFrame, key: str | None = None, window_secs: int =
                  unknown_is_error: bool = True) -> DataFrame:
     """Sampled error rates: at most one per second and key, the first error included."""
     points = _with_earlier(_points(_errors(entries, key, unknown_is_error)), window_secs)
-    located = points.select("key", "block", "us", (F.col("block") * (window_secs * SECOND)).alias("block_start"))
-    steps = located.groupBy("key", "block").applyInPandas(_steps, "key string, block long, up_to long, leaves long")
+    steps = _by_block(points.select("key", "block", "us"), "block", _steps(window_secs * SECOND),
+                      "key string, block long, up_to long, leaves long")
     states = steps.groupBy("key").applyInPandas(_entries, "key string, block long, state long")
-    both = points.select("key", "block", "us", "earlier", "first_service").unionByName(states, allowMissingColumns=True)
-    return both.groupBy("key", "block").applyInPandas(_ticks, "key string, us long, rate double, service string")
+    both = points.select("key", "block", "us", "earlier", "first_service").unionByName(
+        states.withColumn("us", F.lit(NEVER)), allowMissingColumns=True
+    )
+    return _by_block(both, "block", _ticks, "key string, us long, rate double, service string")
 
 
 def detect_spikes(entries: DataFrame, key: str | None = None, window_secs: int = WINDOW_SECS, alpha: float = ALPHA,
@@ -201,8 +246,7 @@ def detect_spikes(entries: DataFrame, key: str | None = None, window_secs: int =
         F.aggregate("ticks", F.lit(0.0), lambda a, t: F.lit(alpha) * t["rate"] + F.lit(1.0 - alpha) * a).alias("tail"),
     )
     starts = days.groupBy("key").applyInPandas(_carry(alpha), "key string, day long, average double")
-    both = ticks.unionByName(starts, allowMissingColumns=True)
-    spikes = both.groupBy("key", "day").applyInPandas(
-        _replay(alpha, factor), "key string, us long, rate double, baseline double, factor double, service string"
-    )
+    both = ticks.unionByName(starts.withColumn("us", F.lit(NEVER)), allowMissingColumns=True)
+    spikes = _by_block(both, "day", _replay(alpha, factor),
+                       "key string, us long, rate double, baseline double, factor double, service string")
     return spikes.select("key", from_micros(F.col("us")).alias("detected_at"), "rate", "baseline", "factor", "service")
