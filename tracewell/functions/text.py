@@ -72,3 +72,10 @@ def matches_of(text: Column, words: list[str]) -> Column:
     """Array of the matched snippets, in order of appearance."""
     pattern = "(" + "|".join(word_regex([w]) for w in words) + ")"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def fold_column(text: Column) -> Column:
+    """Lower case without accents, as :func:`fold` does for words."""
+    pairs = [(v, base) for base, variants in _letter_variants().items() for v in variants if len(v) == 1]
+    plain = F.translate(F.lower(text), "".join(v for v, _ in pairs), "".join(b for _, b in pairs))
+    return F.regexp_replace(plain, r"\p{M}+", "")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.levels import ERROR_RANK, at_least, level_label, level_rank
-from tracewell.functions.text import highlight, matches_of, word_regex, words_of
+from tracewell.functions.text import fold_column, highlight, matches_of, word_regex, words_of
 
 PAGE = 200
 LIVE_ENTRIES = 5_000
@@ -141,7 +141,7 @@ def build_token_index(entries: DataFrame, columns=SEARCH_COLUMNS) -> DataFrame:
     """
     per_column = []
     for column in columns:
-        tokens = F.array_distinct(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}\p{M}]+"))
+        tokens = F.array_distinct(F.split(fold_column(F.col(column)), r"[^\p{L}\p{N}]+"))
         per_column.append(F.transform(tokens, lambda t, c=column: F.struct(t.alias("token"), F.lit(c).alias("column"))))
     flat = F.flatten(F.array_compact(F.array(*per_column)))
     return entries.select("id", F.inline(flat)).where(F.col("token") != "").select("token", "column", "id")

@@ -22,7 +22,10 @@ from tracewell.plans.fixtures import (
     BURST_SQL, CLUSTERED_SQL, DOCUMENTS_SQL, ENTRIES_SQL, LINES_SQL, REPLIES_SQL, fingerprint_sql, template_sql,
 )
 from tracewell.sinks import export as EX, tables as S
+from tracewell.session import shared_dir
 from tracewell.sources.files import load_sources, tail_lines
+from tracewell.streaming import operators as ST
+from tracewell.streaming.ingest import ingest, store_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,9 +132,9 @@ def _(spark, sf):
     return Q.search_entries(fx.document_entries(spark, sf), phrase="of, THE", columns=("message",)).select(*FOUND)
 
 
-@query("search_prefix", f"with {WORDS_SQL} select {FOUND_SQL} from wx where contains(run, ' theble')")
+@query("search_prefix", f"with {WORDS_SQL} select {FOUND_SQL} from wx where contains(run, ' eni')")
 def _(spark, sf):
-    return Q.search_entries(fx.document_entries(spark, sf), prefix="theble", columns=("message",)).select(*FOUND)
+    return Q.search_entries(fx.document_entries(spark, sf), prefix="Éni", columns=("message",)).select(*FOUND)
 
 
 @query("search_column", f"""with {ENTRIES_SQL} select {ENTRY_SQL} from fx
@@ -154,12 +157,12 @@ def _(spark, sf):
     return found.select("id", Q.term_frequency(["the"], ("message",)).cast("long").alias("term_frequency"))
 
 
-@query("search_token_index", f"with {WORDS_SQL} select {FOUND_SQL} from wx where list_contains(words, 'thethe') or (list_contains(words, 'the') and list_contains(words, 'of'))")
+@query("search_token_index", f"with {WORDS_SQL} select {FOUND_SQL} from wx where list_contains(words, 'ete') or (list_contains(words, 'the') and list_contains(words, 'of'))")
 def _(spark, sf):
     e = fx.document_entries(spark, sf)
     index = Q.build_token_index(e, ("message",))
     return Q.search_token_index(index, e, "the of").select(*FOUND).unionByName(
-        Q.search_token_index(index, e, "thethe").select(*FOUND)).distinct()
+        Q.search_token_index(index, e, "Été").select(*FOUND)).distinct()
 
 
 @query("highlight_matches", f"""with {ENTRIES_SQL} select id,
@@ -694,3 +697,69 @@ def _(spark, sf):
     step = lambda s: F.concat_ws("/", s["step"].cast("string"), s["title"], s["description"], F.coalesce(s["command"], F.lit("-")), F.coalesce(s["code"], F.lit("-")))
     return parsed.select("entry_id", "title", "root_cause", joined("evidence"), F.array_join(F.transform("fix_suggestions", step), "|").alias("fix_suggestions"),
                          F.col("confidence").cast("double").alias("confidence"))
+
+
+# ---------------------------------------------------------------- streams
+
+def event_stream(spark, sf) -> DataFrame:
+    """The events table as a stream of entries."""
+    schema = fx.table(spark, sf, "events").schema
+    return fx.as_entries(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def run_stream(stream: DataFrame, each, output_mode: str = "append") -> None:
+    """Process all available input, then stop."""
+    checkpoint = shared_dir(stream.sparkSession, "stream-checkpoint")
+    writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.foreachBatch(each).start().awaitTermination()
+
+
+def collected(stream: DataFrame, purpose: str, output_mode: str = "append") -> DataFrame:
+    """All rows a stream puts out."""
+    spark, out = stream.sparkSession, shared_dir(stream.sparkSession, purpose)
+    run_stream(stream, lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}"), output_mode)
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("stream_timeline", f"with {ENTRIES_SQL} select {BUCKET} as bucket, level, count(*) as count from fx group by all")
+def _(spark, sf):
+    return collected(ST.timeline_stream(event_stream(spark, sf)), "timeline", "complete")
+
+
+@query("stream_merge_stacktraces", f"""with {MERGED_SQL} select source_id, line_no, value, stacktrace from merged
+  qualify row_number() over (partition by source_id order by line_no desc) > 1""")
+def _(spark, sf):
+    merged = collected(ST.merge_stacktraces_stream(fx.as_lines(event_stream(spark, sf)), flush_after_ms=None), "lines")
+    return merged.select("source_id", "line_no", "value", joined("stacktrace"))
+
+
+@query("stream_spikes", SQL["detect_spikes"])
+def _(spark, sf):
+    moved = fx.as_burst(event_stream(spark, sf))
+    found = collected(ST.detect_spikes_stream(moved), "spikes")
+    return found.select("detected_at", "rate", F.round("baseline", 6).alias("baseline"), F.round("factor", 6).alias("factor"), "service")
+
+
+@query("stream_upsert_clusters", f"with {SUMMARY_SQL} select {', '.join(SUMMARY)} from named")
+def _(spark, sf):
+    store = shared_dir(spark, "store")
+    run_stream(C.cluster_exact(event_stream(spark, sf)), lambda batch, batch_id: store_batch(batch, batch_id, store))
+    return flat_summary(S.read_snapshot(spark, f"{store}/clusters"))
+
+
+@query("stream_append_dedup", f"with {ENTRIES_SQL} select {ENTRY_SQL} from fx")
+def _(spark, sf):
+    path = shared_dir(spark, "entries")
+    for _ in range(2):  # the second stream brings nothing new
+        run_stream(event_stream(spark, sf), lambda batch, batch_id: S.append_entries(batch, path))
+    return S.read_table(spark, path).select(*ENTRY)
+
+
+@query("stream_ingest", SQL["normalize_lines"] + " qualify row_number() over (partition by source_id order by seq desc) > 1")
+def _(spark, sf):
+    store = shared_dir(spark, "store")
+    lines = fx.as_lines(event_stream(spark, sf)).withColumn("source_label", F.col("source_id"))
+    ingest(lines, store, shared_dir(spark, "stream-checkpoint"), fx.sources(spark, sf), TEMPLATES,
+           trigger={"availableNow": True}).awaitTermination()
+    stored = S.read_table(spark, f"{store}/entries")
+    return stored.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")

@@ -162,15 +162,17 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_burst(fx: DataFrame) -> DataFrame:
     """Entries whose errors of one day fall into one and a half seconds."""
     moved = (
         "timestamp_ntz'2024-01-15 12:00:00' + make_dt_interval(0, 0, 0, "
         "cast(case when seq % 10 = 0 then 1500 else seq % 900 end as decimal(18,6)) / 1000)"
     )
-    return entries(spark, sf_dir).withColumn(
-        "timestamp", F.expr(f"case when level = 'error' and day(timestamp) = 15 then {moved} else timestamp end")
-    )
+    return fx.withColumn("timestamp", F.expr(f"case when level = 'error' and day(timestamp) = 15 then {moved} else timestamp end"))
+
+
+def burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_burst(entries(spark, sf_dir))
 
 
 BURST_SQL = f"""{ENTRIES_SQL},

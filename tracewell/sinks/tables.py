@@ -120,16 +120,21 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(v for v in found if done(v))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """Latest complete version of a snapshot table."""
+def snapshot_version(spark: SparkSession, path: str) -> int:
+    """Number of the latest complete version, 0 if there is none."""
     versions = _versions(spark, path)
+    return versions[-1] if versions else 0
+
+
+def read_snapshot(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
+    """Latest complete version of a snapshot table, optionally none after ``up_to``."""
+    versions = [v for v in _versions(spark, path) if up_to is None or v <= up_to]
     return spark.read.parquet(f"{path}/v{versions[-1]:010d}") if versions else None
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
+def write_snapshot(df: DataFrame, path: str, version: int | None = None) -> None:
     """Write the next version. Readers of the previous version are not disturbed."""
-    versions = _versions(df.sparkSession, path)
-    following = (versions[-1] if versions else 0) + 1
+    following = version or snapshot_version(df.sparkSession, path) + 1
     df.write.mode("overwrite").parquet(f"{path}/v{following:010d}")
 
 
