@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracewell.functions.fingerprint import fingerprint_of_template, template
 from tracewell.functions.levels import ERROR_RANK, level_label, level_of_rank, level_rank
+from tracewell.functions.times import from_micros, micros
 from tracewell.schema import CLUSTERS
+from tracewell.session import configure
 
 SAMPLES = 5
 DEFAULT_LIST = 50
@@ -32,38 +34,52 @@ def first_per_cluster(entries: DataFrame, k: int, order, key: str = "cluster_id"
     return ranked.where(F.col("_rank") <= k)
 
 
+def _last_arrival(seq: Column, timestamp: Column) -> Column:
+    """Arrival number and time as one number, so that its maximum is the last arrival.
+
+    A fixed-width number keeps the aggregation below hash based; a struct would
+    make Spark sort all entries first.
+    """
+    scale = F.lit(10**18).cast("decimal(19,0)")
+    return seq.cast("decimal(20,0)") * scale + (micros(timestamp) + F.lit(10**17)).cast("decimal(20,0)")
+
+
+def _time_of_arrival(packed: Column) -> Column:
+    return from_micros((packed % F.lit(10**18).cast("decimal(19,0)")).cast("long") - F.lit(10**17))
+
+
 def cluster_summary(entries: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """One row per ``cluster_id`` with counts, times, sources, services and samples.
 
-    "First" and "last" mean arrival order (``seq``, then ``id``). Rows are first
-    reduced to one per cluster, source and service on the map side, so a cluster
-    holding most rows costs no more to shuffle than a small one.
+    "First" and "last" mean arrival order (``seq``). Entries are first reduced to
+    one row per cluster, source and service on the map side, so a cluster holding
+    most entries costs no more to shuffle than a small one.
     """
-    arrival = F.struct("seq", "id")
+    configure(entries.sparkSession)
     rank = F.col("level_rank") if "level_rank" in entries.columns else level_rank(F.col("level"))
-    parts = entries.groupBy("cluster_id", "source_id", "service").agg(
-        F.count("*").alias("n"), F.min("timestamp").alias("first_seen"),
-        F.max(F.struct("seq", "id", "timestamp")).alias("last"), F.min(arrival).alias("first"),
-        F.max(rank).alias("level_rank"), F.min(F.struct("seq", "id", "template", "fingerprint")).alias("named"),
+    # The template depends on the cluster alone; as a key it needs no buffer.
+    parts = entries.groupBy("cluster_id", "template", "source_id", "service").agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first_seen"), F.min("seq").alias("first"),
+        F.max(_last_arrival(F.col("seq"), F.col("timestamp"))).alias("last"), F.max(rank).alias("level_rank"),
     )
     by_arrival = lambda column: F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("first", column))))
     names = lambda pairs, column: F.array_distinct(F.transform(pairs, lambda p: p[column]))
     grouped = parts.groupBy("cluster_id").agg(
         F.sum("n").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last").alias("last"),
-        F.max("level_rank").alias("level_rank"), F.min("named").alias("named"),
+        F.max("level_rank").alias("level_rank"), F.min_by("template", "first").alias("template"),
         by_arrival("source_id").alias("_sources"), by_arrival("service").alias("_services"),
     )
     picked = (
         first_per_cluster(entries.select("cluster_id", "seq", "id"), samples, ["seq", "id"])
         .groupBy("cluster_id")
-        .agg(F.transform(F.array_sort(F.collect_list(arrival)), lambda s: s["id"]).alias("sample_ids"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda s: s["id"]).alias("sample_ids"))
     )
     return (
         grouped.join(picked, "cluster_id")
         .select(
-            "cluster_id", F.col("named.fingerprint").alias("fingerprint"), F.col("named.template").alias("template"),
+            "cluster_id", F.col("cluster_id").alias("fingerprint"), "template",
             level_of_rank(F.col("level_rank")).alias("level"), "level_rank", "count", "first_seen",
-            F.col("last.timestamp").alias("last_seen"), names("_sources", "source_id").alias("source_ids"),
+            _time_of_arrival(F.col("last")).alias("last_seen"), names("_sources", "source_id").alias("source_ids"),
             "sample_ids", names("_services", "service").alias("services"),
             F.lit(None).cast("string").alias("ai_summary"),
         )

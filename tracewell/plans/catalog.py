@@ -703,7 +703,7 @@ def _(spark, sf):
 
 def event_stream(spark, sf) -> DataFrame:
     """The events table as a stream of entries."""
-    schema = fx.table(spark, sf, "events").schema
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return fx.as_entries(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 

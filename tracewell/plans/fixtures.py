@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.session import configure
+from tracewell.session import configure, spread
 
 MESSAGE = """
   case {id} % 4
@@ -27,7 +27,7 @@ DUCK_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def as_entries(events: DataFrame) -> DataFrame:

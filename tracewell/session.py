@@ -50,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_dir(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if it has fewer splits than there are cores.
+
+    Small tables in few files would otherwise keep a few cores busy with all the
+    text work. A scan with enough splits is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

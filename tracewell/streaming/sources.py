@@ -16,10 +16,10 @@ def stream_log_files(spark: SparkSession, path: str, source_id: str | None = Non
     as one text to keep its line order; roll files well below 2 GB.
     """
     configure(spark)
-    reader = spark.readStream.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    reader = spark.readStream.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.text(path).select(
+    files = reader.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ingested_at"),
         F.posexplode(F.split("value", "\n")).alias("line_no", "value"),
