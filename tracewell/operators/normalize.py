@@ -15,16 +15,21 @@ from tracewell.operators.parsers import (
 from tracewell.session import configure
 from tracewell.schema import ENTRIES
 
+BROADCAST_SOURCES = 200_000
+
 
 def with_source_hints(lines: DataFrame, sources: DataFrame | None, hint: str = "parser_hint") -> DataFrame:
     """Add the parser hint of each line's source.
 
-    The source table is configuration; Spark broadcasts it when its measured
-    size allows and shuffles otherwise.
+    The sources with a hint are counted first and broadcast up to
+    ``BROADCAST_SOURCES``; beyond that the lines are joined by shuffle.
     """
     if sources is None:
         return lines if hint in lines.columns else lines.withColumn(hint, F.lit(None).cast("string"))
-    hints = sources.select("source_id", F.col("parser_hint").alias(hint)).dropDuplicates(["source_id"])
+    hints = sources.where(F.col("parser_hint").isNotNull()).select("source_id", F.col("parser_hint").alias(hint))
+    hints = hints.dropDuplicates(["source_id"])
+    if hints.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        hints = F.broadcast(hints)
     return lines.drop(hint).join(hints, "source_id", "left")
 
 

@@ -13,6 +13,7 @@ from tracewell.functions.text import is_blank
 from tracewell.session import configure
 
 TAIL_LINES = 50
+BROADCAST_SPLITS = 500_000
 BLANK_POLICIES = ("empty", "blank", "trim_end")
 
 
@@ -38,13 +39,18 @@ def accept_lines(lines: DataFrame, blank_policy: str = "empty") -> DataFrame:
 def _numbered(raw: DataFrame) -> DataFrame:
     """Add ``line_no``: lines of earlier splits of the file plus the position in the split.
 
-    Rows of one split have consecutive ids, so two counts per split are enough;
-    lines are never sorted or shuffled. The count pass reads the files once more.
+    Rows of one split have consecutive ids, so two counts per split are enough.
+    The count pass reads the files once more. There is one row per split; up to
+    ``BROADCAST_SPLITS`` of them (some 60 TB in splits of 128 MB) are broadcast, so
+    that lines are neither sorted nor shuffled. Beyond that Spark joins by shuffle.
     """
     placed = raw.withColumn("_row", F.monotonically_increasing_id())
     splits = placed.groupBy("file", "_start").agg(F.count("*").alias("_lines"), F.min("_row").alias("_first"))
     before = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.select("file", "_start", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    # A scan partition is cut from one file or packs several whole ones.
+    most = raw.rdd.getNumPartitions() + len(raw.inputFiles())
+    splits = F.broadcast(splits) if most <= BROADCAST_SPLITS else splits
     return placed.join(splits, ["file", "_start"]).withColumn("line_no", F.col("_row") + F.col("_shift"))
 
 
