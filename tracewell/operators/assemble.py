@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracewell.functions.formats import is_continuation
 
-CHUNK_LINES = 65_536
+CHUNK_LINES = 16_384
 CHUNKS_PER_SPAN = 65_536
 
 
