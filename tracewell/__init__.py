@@ -4,6 +4,13 @@ Timestamps are ``timestamp_ntz`` columns holding UTC everywhere; call
 :func:`configure` once per session so that parsing agrees with that.
 """
 
-from tracewell.session import configure, cut_lineage, shared_dir
+import sys
 
-__all__ = ["configure", "cut_lineage", "shared_dir"]
+from pyspark import cloudpickle
+
+from tracewell.session import configure, cut_lineage, drop_stage, shared_dir
+
+# Functions sent to executors carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = ["configure", "cut_lineage", "drop_stage", "shared_dir"]

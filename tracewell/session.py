@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,6 +17,10 @@ REQUIRED = {
 }
 
 
+# Folders made below the checkpoint folder and not deleted yet.
+_MADE: dict[str, SparkSession] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the session settings the operators rely on."""
     for key, value in REQUIRED.items():
@@ -25,10 +30,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only when unset."""
+    """Shared folder named by the cluster.
+
+    Only a local master, whose executors are this process, may go without: it gets a
+    temporary folder. On a cluster executors would write to their own disks, so an
+    unset folder is an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -36,8 +48,27 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared checkpoint folder, seen by all executors."""
-    return f"{_checkpoint_root(spark).rstrip('/')}/tracewell/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder, seen by all executors.
+
+    It is deleted when the driver ends; see :func:`drop_stage` for an earlier end.
+    """
+    path = f"{_checkpoint_root(spark).rstrip('/')}/tracewell/{purpose}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_MADE.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended; the folder stays for the cluster's own clean-up
+            return
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -49,7 +80,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage._tracewell_stage = path
+    return stage
+
+
+def drop_stage(*stages: DataFrame) -> None:
+    """Delete tables of :func:`cut_lineage` that nothing reads any more."""
+    for stage in stages:
+        path = getattr(stage, "_tracewell_stage", None)
+        if path and _MADE.pop(path, None) is not None:
+            _delete(stage.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
