@@ -6,18 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tracewell.llm.texts import WORDS, count_matches
 from tracewell.session import cut_lineage, drop_stage
 
-WORDS = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
 LEVELS = 4
 HASH_BITS = LEVEL_BITS * LEVELS
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
-
-
 def document_hash(doc_id: Column, size: Column) -> Column:
     """48 bits that follow from id and size alone, so reruns and other engines agree."""
     key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), size.cast("string"))
@@ -132,7 +128,7 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _measured(docs: DataFrame, *names: str) -> DataFrame:
-    rows = docs.select(*names, word_count(F.col("text")).alias("_size"))
+    rows = docs.select(*names, count_matches(F.col("text"), WORDS).alias("_size"))
     return rows.withColumn("_hash", document_hash(F.col("doc_id"), F.col("_size")))
 
 

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracewell.llm import arrays as A
 from tracewell.llm.bitmap import may_hold, send_bitmap
 from tracewell.llm.graph import components
+from tracewell.llm.texts import text_marks
 from tracewell.session import cut_lineage, drop_stage
 
 SHINGLE = 5
@@ -101,10 +102,10 @@ def set_marks(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 SIGNATURES = pa.schema([
-    ("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark_a", pa.int64()), ("mark_b", pa.int64()),
+    ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("n_shingles", pa.int64()), ("mark_a", pa.int64()), ("mark_b", pa.int64()),
     ("bands", pa.list_(pa.int64())), ("sig", pa.binary()),
 ])
-SIGNATURE_TYPES = "row_key long, doc_id long, n_shingles long, mark_a long, mark_b long, bands array<long>, sig binary"
+SIGNATURE_TYPES = "row_key long, doc_id long, text_a long, text_b long, n_shingles long, mark_a long, mark_b long, bands array<long>, sig binary"
 SET_TYPES = "mark_a long, mark_b long, shingles binary"
 
 
@@ -121,8 +122,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)
             short = (A.mix(sketch) & np.uint64(255)).astype(np.uint8)
             yield A.table_of(
-                SIGNATURES, row_key=key + np.arange(len(n)), doc_id=batch.column(0)[rows], n_shingles=n,
-                mark_a=A.signed(a), mark_b=A.signed(b),
+                SIGNATURES, row_key=key + np.arange(len(n)), doc_id=batch.column(0)[rows],
+                text_a=batch.column(2)[rows], text_b=batch.column(3)[rows], n_shingles=n, mark_a=A.signed(a), mark_b=A.signed(b),
                 bands=pa.ListArray.from_arrays(pa.array(ends), pa.array(bands)), sig=pa.array([r.tobytes() for r in short], pa.binary()),
             )
             key += len(n)
@@ -323,15 +324,16 @@ def _confirmed_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, one, text_a, text_b`` of every row of ``docs``.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of
     five-word shingles; ``component_id`` is the smallest id that links reach and ``kept``
     marks it. A null or empty text has no shingles and is linked with nothing; rows with
-    one id and equal sets are all kept, since they are the same document; a null id is
-    never kept unless alone in its component. Only ``doc_id`` and ``text`` are read.
+    that id are all kept, since they are the same document; a null id is kept only if no
+    linked row has an id. ``one`` marks exactly one row of each component. ``text_a,
+    text_b`` name the text. Only ``doc_id`` and ``text`` are read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_marks(F.col("text")))
     signed = cut_lineage(source.mapInArrow(_signatures, SIGNATURE_TYPES))
     # Equal sets are one node, named by its smallest row.
     name = ["n_shingles", "mark_a", "mark_b"]
@@ -343,14 +345,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     groups = _candidate_groups(cut_lineage(drawn), percent)
     wanted = cut_lineage(nodes.join(groups, "node").select("node", "grp", "mark_a", "mark_b", F.xxhash64("node_doc").alias("id_hash")))
     bitmap = send_bitmap(wanted.select("id_hash"), "id_hash")
-    sets = source.withColumn("id_hash", F.xxhash64("doc_id")).mapInArrow(_sets_of(bitmap), SET_TYPES)
+    sets = source.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash")).mapInArrow(_sets_of(bitmap), SET_TYPES)
     sets = cut_lineage(sets.join(wanted.select("node", "grp", "mark_a", "mark_b"), ["mark_a", "mark_b"])
                        .select("grp", "node", "shingles"))
     links = components(_confirmed_links(sets, percent))
     named = nodes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    named = cut_lineage(named.join(least, "component").select(*name, "component_id"))
+    best = named.groupBy("component").agg(
+        F.min(F.struct(F.col("least_doc").isNull(), "least_doc", "node")).alias("best"))
+    named = cut_lineage(named.join(best, "component").select(
+        *name, F.col("best.least_doc").alias("component_id"), (F.col("best.node") == F.col("node")).alias("holds_one")))
     drop_stage(sets, wanted)
-    joined = signed.select("doc_id", *name).join(named, name, "left")
-    component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    joined = signed.drop("bands", "sig").join(named, name, "left")
+    # The one row of a set is that with its smallest id, and of equal ids the first.
+    firsts = signed.where("n_shingles > 0").groupBy(*name).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("first_row"))
+    joined = joined.join(firsts, name, "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    one = (F.col("n_shingles") == 0) | (F.col("holds_one") & (F.col("row_key") == F.col("first_row")))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"),
+                         F.col("doc_id").eqNullSafe(component).alias("kept"), one.alias("one"), "text_a", "text_b")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near duplicates.
+
+    Texts without words are in no group and stay.
+    """
+    key = ["_id", "text_a", "text_b"]
+    found = near_duplicates(docs, percent).groupBy(F.xxhash64("doc_id").alias("_id"), "text_a", "text_b").agg(
+        F.count_if("one").alias("_stay"), F.count("*").alias("_rows")).where("_stay > 0")
+    found = cut_lineage(found)
+    rows = docs.withColumns({"_id": F.xxhash64(F.col("doc_id").cast("long"))} | dict(zip(key[1:], text_marks(F.col("text")), strict=True)))
+    whole = rows.join(found.where("_stay = _rows"), key, "left_semi")
+    some = rows.join(found.where("_stay < _rows").drop("_rows"), key)
+    turn = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    some = some.withColumn("_turn", turn).where("_turn <= _stay")
+    return whole.select(*docs.columns).unionByName(some.select(*docs.columns))

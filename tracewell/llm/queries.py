@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import mixing, neardup
+from tracewell.llm import mixing, neardup, winnow
+from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-# Character classes of the contracts, the same in Java, RE2 and the byte tables.
-WORDS = r"[^\x20\x09-\x0D]+"
-PLAIN_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER = UPPER.lower()
 
 
 def query(name: str, sql: str | None = None):
@@ -77,4 +75,28 @@ select s.doc_id, cast(len(s) as bigint) as n_shingles, c as component_id, s.doc_
 
 @query("op6_near_duplicates", NEAR_SQL)
 def op6_near_duplicates(spark, sf):
-    return neardup.near_duplicates(table(spark, sf, "documents"), percent=85)
+    found = neardup.near_duplicates(table(spark, sf, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+WINNOW_SQL = rf"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN_WORDS}') as w from documents),
+iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN_WORDS}') as w from benchmark),
+win as (select distinct item_id, least(13, len(w)) as k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as g
+        from (select *, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from iw where len(w) > 0)),
+ks as (select distinct k from win),
+dp as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g
+       from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, ks where len(w) >= k)),
+m as (select distinct doc_id, dp.k, i, item_id from dp join win on dp.g = win.g and dp.k = win.k),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from m) group by doc_id),
+it as (select doc_id, count(distinct item_id) as n_items,
+       array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as ids from m group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join hit using (doc_id) left join it using (doc_id)
+"""
+
+
+@query("op7_decontaminate", WINNOW_SQL)
+def op7_decontaminate(spark, sf):
+    return winnow.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_a", "text_b")
