@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import mixing, neardup, winnow
+from tracewell.llm import mixing, neardup, token_files, winnow
 from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,10 @@ from dw left join hit using (doc_id) left join it using (doc_id)
 @query("op7_decontaminate", WINNOW_SQL)
 def op7_decontaminate(spark, sf):
     return winnow.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_a", "text_b")
+
+
+@query("op9_token_files")
+def op9_token_files(spark, sf):
+    import public_tokenizers
+
+    return token_files.token_files(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
