@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import mixing, neardup, token_files, winnow
+from tracewell.llm import mixing, neardup, perplexity, token_files, winnow
 from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def op9_token_files(spark, sf):
     import public_tokenizers
 
     return token_files.token_files(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf):
+    found = perplexity.quality(table(spark, sf, "documents"))
+    return found.select("doc_id", *perplexity.MEASURES, "base_failed", "kept", "log_perplexity", "least", "most")
