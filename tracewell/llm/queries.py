@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import mixing, neardup, perplexity, token_files, winnow
+from tracewell.llm import licenses, mixing, neardup, perplexity, suffix_tree, token_files, urls, winnow
 from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,34 @@ def op9_token_files(spark, sf):
 def op2_quality_rules(spark, sf):
     found = perplexity.quality(table(spark, sf, "documents"))
     return found.select("doc_id", *perplexity.MEASURES, "base_failed", "kept", "log_perplexity", "least", "most")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+URL_SQL = rf"""
+with u as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '(?s)^[^?#]*(.*)$', 1) as tail from u),
+s as (select row_number() over () as r, *, host || path || tail as subject from p),
+rules(name, verdict, pattern, rank) as (values {", ".join(f"({_quoted(r.name)}, '{r.verdict}', {_quoted(r.pattern)}, {r.rank})" for r in urls.RULES)}),
+m as (select r, arg_max(name, [rank, length(name)]) as name, arg_max(verdict, [rank, length(name)]) as verdict, max(rank) as rank
+      from s join rules on regexp_matches(subject, pattern) group by r)
+select page_id, host, path, case when rank > 0 then name end as rule, coalesce(verdict, 'allow') as verdict from s left join m using (r)
+"""
+
+
+@query("op4_url_filters", URL_SQL)
+def op4_url_filters(spark, sf):
+    return urls.judge_urls(table(spark, sf, "pages"))
+
+
+@query("op5_suffix_tree")
+def op5_suffix_tree(spark, sf):
+    return suffix_tree.score_documents(table(spark, sf, "documents"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents"))
