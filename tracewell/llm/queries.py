@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import licenses, mixing, neardup, perplexity, suffix_tree, token_files, urls, winnow
+from tracewell.llm import fuzzy_lines, licenses, mixing, neardup, perplexity, secrets, suffix_tree, token_files, urls, winnow
 from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,13 @@ def op5_suffix_tree(spark, sf):
 @query("op10_license_scan")
 def op10_license_scan(spark, sf):
     return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+@query("op3_fuzzy_lines")
+def op3_fuzzy_lines(spark, sf):
+    return fuzzy_lines.fuzzy_lines(table(spark, sf, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf):
+    return secrets.scan_secrets(table(spark, sf, "documents"))
