@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tracewell.llm.texts import count_matches, lowered, text_marks
 from tracewell.session import cut_lineage
 
-# Word characters whatever the case of A-Z, and all others.
-ANY_CASE_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Letters, digits and all beyond ASCII, in a form that Java tests fast, and all others.
+ANY_CASE_WORDS = r"[\p{Alnum}\x{80}-\x{10FFFF}]+"
+BETWEEN_WORDS = r"[^\p{Alnum}\x{80}-\x{10FFFF}]+"
 
 
 @dataclass(frozen=True)
