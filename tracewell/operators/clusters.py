@@ -102,13 +102,13 @@ def find_cluster(clusters: DataFrame, id_or_prefix: str) -> DataFrame:
     )
 
 
-def clusters_view(clusters: DataFrame, limit: int = 20) -> DataFrame:
-    """Console view: count, label, first seen, template cut to 60 characters, up to three services."""
+def clusters_view(clusters: DataFrame, limit: int = 20, template_shown: int = 60, services_shown: int = 3) -> DataFrame:
+    """Console view: count, label, first seen, start of the template, first services."""
     top = list_clusters(clusters, limit)
     return top.select(
         "cluster_id", "count", level_label(F.col("level")).alias("level"),
         F.date_format("first_seen", "MM-dd HH:mm:ss").alias("first_seen"),
-        F.substring("template", 1, 60).alias("template"), F.slice("services", 1, 3).alias("services"),
+        F.substring("template", 1, template_shown).alias("template"), F.slice("services", 1, services_shown).alias("services"),
     )
 
 

@@ -164,13 +164,15 @@ def live_filter(entries: DataFrame, levels=(), substring: str = "", keep: int =
     return newest
 
 
-def watch_view(entries: DataFrame, min_level: str = "trace", unknown_passes: bool = True) -> DataFrame:
+def watch_view(
+    entries: DataFrame, min_level: str = "trace", unknown_passes: bool = True, trace_lines: int = TRACE_LINES_SHOWN
+) -> DataFrame:
     """Console view: formatted time, label, service or ``-``, message, first trace lines."""
     shown = entries.where(at_least(F.col("level"), min_level, unknown_passes))
     return shown.select(
         "id", F.date_format("timestamp", "HH:mm:ss.SSS").alias("time"),
         level_label(F.col("level")).alias("level"), F.coalesce("service", F.lit("-")).alias("service"),
-        "message", F.slice("stacktrace", 1, TRACE_LINES_SHOWN).alias("stacktrace"),
+        "message", F.slice("stacktrace", 1, trace_lines).alias("stacktrace"),
     )
 
 

@@ -32,7 +32,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 FROM, TO = "2024-01-10 00:00:00", "2024-01-20 12:00:00"
-TEMPLATES = (LineTemplate("acme", "Acme", fx.ACME),)
+TEMPLATES = (LineTemplate("depot", "Depot", fx.DEPOT),)
 DAY15 = ("2024-01-15 00:00:00", "2024-01-16 00:00:00")
 
 
@@ -542,13 +542,13 @@ def _(spark, sf):
     return flat(parse_plaintext(fx.document_entries(spark, sf), "message"), "id").select("id", "level", "service", "message")
 
 
-ACME_SQL = r"'^(\S+) \[(\w+)\] ([\w-]+): (.*)$'"
+DEPOT_SQL = r"'^(\S+) <(\w+)> ([\w-]+) => (.*)$'"
 
 
-@query("parse_custom", f"""with {LINES_SQL} select source_id, line_no, regexp_extract(value, {ACME_SQL}, 1)::timestamp as "timestamp", lower(regexp_extract(value, {ACME_SQL}, 2)) as level,
-  regexp_extract(value, {ACME_SQL}, 3) as service, regexp_extract(value, {ACME_SQL}, 4) as message, 'unknown' as format from lx where regexp_matches(value, {ACME_SQL})""")
+@query("parse_custom", f"""with {LINES_SQL} select source_id, line_no, regexp_extract(value, {DEPOT_SQL}, 1)::timestamp as "timestamp", lower(regexp_extract(value, {DEPOT_SQL}, 2)) as level,
+  regexp_extract(value, {DEPOT_SQL}, 3) as service, regexp_extract(value, {DEPOT_SQL}, 4) as message, 'unknown' as format from lx where regexp_matches(value, {DEPOT_SQL})""")
 def _(spark, sf):
-    return flat(parse_custom(fx.lines(spark, sf), compile_templates(TEMPLATES)["acme"]), "source_id", "line_no")
+    return flat(parse_custom(fx.lines(spark, sf), compile_templates(TEMPLATES)["depot"]), "source_id", "line_no")
 
 
 @query("parse_timestamps", f"""with {ENTRIES_SQL}, spelled as (select id, "timestamp", case seq % 4 when 0 then iso when 1 then replace(iso, 'Z', '+02:30') when 2 then replace(iso, 'Z', '') else substr(iso, 1, 10) end as txt, seq from fx)
@@ -563,16 +563,16 @@ def normalized(spark, sf) -> DataFrame:
     return normalize_lines(merge_stacktraces(fx.lines(spark, sf)), fx.sources(spark, sf), TEMPLATES)
 
 
-@query("normalize_lines", f"""with {MERGED_SQL}, p as (select *, regexp_matches(value, {ACME_SQL}) and source_id <> 'src-2' as acme from {PLAIN_SQL.replace('@source', 'merged')}),
+@query("normalize_lines", f"""with {MERGED_SQL}, p as (select *, regexp_matches(value, {DEPOT_SQL}) and source_id <> 'src-2' as depot from {PLAIN_SQL.replace('@source', 'merged')}),
   n as (select source_id, line_no as seq,
     case when seq % 6 = 0 then (value->>'timestamp')::timestamp when seq % 6 = 1 then regexp_extract(value, 'time=(\\S+)', 1)::timestamp
-      when seq % 6 = 4 then (value->>'time')::timestamp when acme then regexp_extract(value, {ACME_SQL}, 1)::timestamp else trim(head)::timestamp end as "timestamp",
+      when seq % 6 = 4 then (value->>'time')::timestamp when depot then regexp_extract(value, {DEPOT_SQL}, 1)::timestamp else trim(head)::timestamp end as "timestamp",
     case when seq % 6 = 0 then value->>'level' when seq % 6 = 1 then regexp_extract(value, 'level=(\\S+)', 1) when seq % 6 = 4 then 'unknown' else {PLAIN_LEVEL} end as level,
     case when seq % 6 = 0 then value->>'service' when seq % 6 = 1 then regexp_extract(value, 'service=(\\S+)', 1) when seq % 6 = 4 then null
-      when acme then regexp_extract(value, {ACME_SQL}, 3) else {PLAIN_SERVICE} end as service,
+      when depot then regexp_extract(value, {DEPOT_SQL}, 3) else {PLAIN_SERVICE} end as service,
     case when seq % 6 = 0 then value->>'message' when seq % 6 = 1 then regexp_extract(value, 'msg="([^"]*)"', 1) when seq % 6 = 4 then value->>'log'
-      when acme then regexp_extract(value, {ACME_SQL}, 4) else {PLAIN_MESSAGE} end as message,
-    stacktrace, value as raw, case when seq % 6 = 0 then 'json' when seq % 6 = 1 then 'key_value' when seq % 6 = 4 then 'docker' when acme then 'unknown' else 'plaintext' end as format
+      when depot then regexp_extract(value, {DEPOT_SQL}, 4) else {PLAIN_MESSAGE} end as message,
+    stacktrace, value as raw, case when seq % 6 = 0 then 'json' when seq % 6 = 1 then 'key_value' when seq % 6 = 4 then 'docker' when depot then 'unknown' else 'plaintext' end as format
   from p)
   select source_id, seq, "timestamp", level, service, message, stacktrace, raw, format, {fingerprint_sql(template_sql("message"))} as fingerprint from n""".replace("(value->>", "(case when starts_with(value, '{') then value end->>").replace("then value->>", "then case when starts_with(value, '{') then value end->>"))
 def _(spark, sf):

@@ -118,14 +118,14 @@ dx as (
   from doc_lines where message <> ''))
 """
 
-ACME = r"^(?P<timestamp>\S+) \[(?P<level>\w+)\] (?P<service>[\w-]+): (?P<message>.*)$"
+DEPOT = r"^(?P<timestamp>\S+) <(?P<level>\w+)> (?P<service>[\w-]+) => (?P<message>.*)$"
 
 _TEXT = """
   case seq % 6
     when 0 then concat('{{"timestamp":"', iso, '","level":"', level, '","service":"', service, '","message":"', message, '"}}')
     when 1 then concat('time=', iso, ' level=', level, ' service=', service, ' msg="', message, '"')
     when 2 then concat(iso, ' ', upper(level), ' [', service, '] ', message)
-    when 3 then concat(iso, ' [', upper(level), '] ', service, ': ', message)
+    when 3 then concat(iso, ' <', upper(level), '> ', service, ' => ', message)
     when 4 then concat('{{"log":"', message, '","stream":"stdout","time":"', iso, '"}}')
     else concat(iso, ' ', upper(level), ' [', service, '] ', message, {nl}, {tab}, 'at com.example.Job.run(Job.java:',
       cast(seq % 97 as {str}), ')', {nl}, 'Caused by: java.io.IOException') end
@@ -157,7 +157,7 @@ lx as (
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of :func:`lines`; two of three use the custom line format."""
     return entries(spark, sf_dir).select("source_id").distinct().selectExpr(
-        "source_id", "concat('App ', source_id) as label", "case when source_id <> 'src-2' then 'acme' end as parser_hint",
+        "source_id", "concat('App ', source_id) as label", "case when source_id <> 'src-2' then 'depot' end as parser_hint",
         "source_id <> 'src-1' as enabled",
     )
 

@@ -52,10 +52,10 @@ def export_json(selection: DataFrame, exported_at: str, summary: DataFrame | Non
     )
 
 
-def export_markdown_rows(entries: DataFrame, rows: int = MARKDOWN_ROWS) -> DataFrame:
+def export_markdown_rows(entries: DataFrame, rows: int = MARKDOWN_ROWS, message_shown: int = MESSAGE_SHOWN) -> DataFrame:
     """Table rows of the newest entries: ``rank, line``."""
     newest = page(entries, rows)
-    message = F.replace(F.substring("message", 1, MESSAGE_SHOWN), F.lit("|"), F.lit("\\|"))
+    message = F.replace(F.substring("message", 1, message_shown), F.lit("|"), F.lit("\\|"))
     line = F.concat(
         F.lit("| "), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), level_label(F.col("level")),
         F.lit(" | "), F.coalesce("service", F.lit("-")), F.lit(" | "), message, F.lit(" |"),
@@ -63,13 +63,16 @@ def export_markdown_rows(entries: DataFrame, rows: int = MARKDOWN_ROWS) -> DataF
     return newest.select("timestamp", "id", line.alias("line"))
 
 
-def export_markdown(selection: DataFrame, exported_at: str, summary: DataFrame | None = None) -> DataFrame:
+def export_markdown(
+    selection: DataFrame, exported_at: str, summary: DataFrame | None = None, rows: int = MARKDOWN_ROWS,
+    message_shown: int = MESSAGE_SHOWN,
+) -> DataFrame:
     """One Markdown document of a selection of at most a few thousand entries.
 
     ``summary`` may hold one row with ``overview, key_issues, recommendations``.
     """
     total = selection.agg(F.count("*").alias("total"), F.lit(1).alias("_one"))
-    table = export_markdown_rows(selection).agg(
+    table = export_markdown_rows(selection, rows, message_shown).agg(
         F.transform(
             F.reverse(F.array_sort(F.collect_list(F.struct("timestamp", "id", "line")))), lambda r: r["line"]
         ).alias("lines"), F.lit(1).alias("_one"),
@@ -90,8 +93,8 @@ def export_markdown(selection: DataFrame, exported_at: str, summary: DataFrame |
     else:
         block = F.lit(None).cast("string")
     more = F.when(
-        F.col("total") > MARKDOWN_ROWS,
-        F.concat(F.lit("\n_... and "), (F.col("total") - MARKDOWN_ROWS).cast("string"), F.lit(" more entries_\n")),
+        F.col("total") > rows,
+        F.concat(F.lit("\n_... and "), (F.col("total") - rows).cast("string"), F.lit(" more entries_\n")),
     )
     return parts.select(
         F.concat_ws(
@@ -103,8 +106,14 @@ def export_markdown(selection: DataFrame, exported_at: str, summary: DataFrame |
     )
 
 
-def export(entries: DataFrame, output: str, exported_at: str, levels=None, summary: DataFrame | None = None) -> None:
-    """Write the newest entries: Markdown if ``output`` ends in ``.md``, else JSON."""
-    selection = export_selection(entries, levels)
-    build = export_markdown if output.endswith(".md") else export_json
-    build(selection, exported_at, summary).coalesce(1).write.mode("overwrite").text(output)
+def export(
+    entries: DataFrame, output: str, exported_at: str, levels=None, summary: DataFrame | None = None,
+    limit: int = EXPORT_ENTRIES, **markdown_options,
+) -> None:
+    """Write the newest ``limit`` entries: Markdown if ``output`` ends in ``.md``, else JSON."""
+    selection = export_selection(entries, levels, limit)
+    if output.endswith(".md"):
+        document = export_markdown(selection, exported_at, summary, **markdown_options)
+    else:
+        document = export_json(selection, exported_at, summary)
+    document.coalesce(1).write.mode("overwrite").text(output)

@@ -58,7 +58,9 @@ def purge_before(spark: SparkSession, path: str, cutoff) -> int:
     stored = read_table(spark, path)
     if stored is None:
         return 0
-    _, removed = split_by_age(stored, cutoff)
+    # The date of the cutoff prunes the folders that are read.
+    until = F.to_date(F.lit(cutoff).cast("timestamp_ntz"))
+    _, removed = split_by_age(stored.where(F.col("date") <= until), cutoff)
     per_date = removed.groupBy("date").count().collect()  # one row per date
     if not per_date:
         return 0
