@@ -25,7 +25,7 @@ from tracewell.sinks import export as EX, tables as S
 from tracewell.session import shared_dir
 from tracewell.sources.files import load_sources, tail_lines
 from tracewell.streaming import operators as ST
-from tracewell.streaming.ingest import ingest, store_batch
+from tracewell.streaming.ingest import close_pending, ingest, store_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -726,10 +726,9 @@ def _(spark, sf):
     return collected(ST.timeline_stream(event_stream(spark, sf)), "timeline", "complete")
 
 
-@query("stream_merge_stacktraces", f"""with {MERGED_SQL} select source_id, line_no, value, stacktrace from merged
-  qualify row_number() over (partition by source_id order by line_no desc) > 1""")
+@query("stream_merge_stacktraces", f"""with {MERGED_SQL} select source_id, line_no, value, stacktrace from merged""")
 def _(spark, sf):
-    merged = collected(ST.merge_stacktraces_stream(fx.as_lines(event_stream(spark, sf)), flush_after_ms=None), "lines")
+    merged = collected(ST.merge_stacktraces_stream(fx.as_lines(event_stream(spark, sf)), flush_after_ms=None, whole_files=True), "lines")
     return merged.select("source_id", "line_no", "value", joined("stacktrace"))
 
 
@@ -755,11 +754,12 @@ def _(spark, sf):
     return S.read_table(spark, path).select(*ENTRY)
 
 
-@query("stream_ingest", SQL["normalize_lines"] + " qualify row_number() over (partition by source_id order by seq desc) > 1")
+@query("stream_ingest", SQL["normalize_lines"])
 def _(spark, sf):
     store = shared_dir(spark, "store")
     lines = fx.as_lines(event_stream(spark, sf)).withColumn("source_label", F.col("source_id"))
     ingest(lines, store, shared_dir(spark, "stream-checkpoint"), fx.sources(spark, sf), TEMPLATES,
            trigger={"availableNow": True}).awaitTermination()
+    close_pending(spark, store, fx.sources(spark, sf), TEMPLATES)
     stored = S.read_table(spark, f"{store}/entries")
     return stored.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.levels import level_of_rank
@@ -42,17 +42,19 @@ def combine_clusters(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
     ).select(*CLUSTERS.names)
 
 
-def assemble_batch(lines: DataFrame, pending: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def assemble_batch(lines: DataFrame, pending: DataFrame | None, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
     """Complete entries of a batch, and the lines of the entry still open in each file.
 
     ``pending`` are the open lines of the batch before. The open entry of a file is
-    its last head line and everything after it.
+    its last head line and everything after it; with ``whole_files`` nothing stays open.
     """
     lines = lines.select(*LINES.names)
     if pending is not None:
         lines = lines.unionByName(pending)
     lines = cut_lineage(lines)
     merged = merge_stacktraces(lines)
+    if whole_files:
+        return merged, lines.limit(0)
     heads = merged.groupBy("source_id", "file").agg(
         F.max("line_no").alias("_last"), F.count("*").alias("_heads")
     )
@@ -79,12 +81,39 @@ def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     append_entries(entries, f"{store}/entries")
 
 
+def _enriched(complete: DataFrame, batch_id: int, store: str, sources, templates, fuzzy: bool, options: dict) -> DataFrame:
+    entries = normalize_lines(complete, sources, templates, **options)
+    if not fuzzy:
+        return entries
+    known = read_snapshot(complete.sparkSession, f"{store}/clusters", batch_id)
+    leaders = None if known is None else known.select("fingerprint", "template")
+    return cluster_fuzzy(cut_lineage(entries), leaders)
+
+
+def close_pending(spark: SparkSession, store: str, sources: DataFrame | None = None, templates=(), fuzzy: bool = False, **options) -> None:
+    """Store the entries that are still open, after a stream has stopped for good.
+
+    It counts as one more batch and leaves nothing open, so calling it again does nothing. A stream
+    that goes on from its checkpoint must not be closed.
+    """
+    version = snapshot_version(spark, f"{store}/pending")
+    pending = read_snapshot(spark, f"{store}/pending")
+    if pending is None or pending.isEmpty():
+        return
+    complete = merge_stacktraces(cut_lineage(pending))
+    store_batch(_enriched(complete, version, store, sources, templates, fuzzy, options), version, store)
+    write_snapshot(pending.limit(0), f"{store}/pending", version + 1)
+
+
 def ingest(
     lines: DataFrame, store: str, checkpoint: str, sources: DataFrame | None = None, templates=(), fuzzy: bool = False,
-    on_batch: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, **options,
+    whole_files: bool = False, on_batch: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, **options,
 ) -> StreamingQuery:
     """Start a query that turns a stream of lines into stored entries and clusters.
 
+    ``whole_files`` says that no file goes on in a later batch, as with rolled files, so its
+    last entry is stored with its batch; otherwise it waits for the next head line of the
+    file, or for :func:`close_pending` when the stream has stopped for good.
     ``fuzzy`` lets new templates join the most similar existing cluster.
     ``on_batch(top, batch_id)`` receives the five largest error clusters after each
     batch. ``trigger`` are arguments of ``DataStreamWriter.trigger``.
@@ -92,14 +121,9 @@ def ingest(
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         pending = read_snapshot(spark, f"{store}/pending", batch_id)
-        complete, still_open = assemble_batch(batch, pending)
+        complete, still_open = assemble_batch(batch, pending, whole_files)
         write_snapshot(still_open, f"{store}/pending", batch_id + 1)
-        entries = normalize_lines(complete, sources, templates, **options)
-        if fuzzy:
-            known = read_snapshot(spark, f"{store}/clusters", batch_id)
-            leaders = None if known is None else known.select("fingerprint", "template")
-            entries = cluster_fuzzy(cut_lineage(entries), leaders)
-        store_batch(entries, batch_id, store)
+        store_batch(_enriched(complete, batch_id, store, sources, templates, fuzzy, options), batch_id, store)
         if on_batch is not None:
             on_batch(top_errors(read_snapshot(spark, f"{store}/clusters"), 5), batch_id)
 

@@ -25,12 +25,13 @@ def timeline_stream(entries: DataFrame, bucket_minutes: int = 5, watermark: str
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "level", "count")
 
 
-def merge_stacktraces_stream(lines: DataFrame, flush_after_ms: int | None = 10_000) -> DataFrame:
+def merge_stacktraces_stream(lines: DataFrame, flush_after_ms: int | None = 10_000, whole_files: bool = False) -> DataFrame:
     """Head lines with their traces from a stream of ``source_id, file, line_no, value``.
 
     A head line is held until the next head of its file arrives, or until nothing
     arrived for ``flush_after_ms``. None never flushes, which an ``availableNow``
-    trigger needs in order to end. The state is one open entry per file. For a
+    trigger needs in order to end. ``whole_files`` says that no file goes on in a later
+    micro-batch, so the last entry of a file comes with its lines. The state is one open entry per file. For a
     stream dominated by few files use :func:`tracewell.streaming.ingest.ingest`,
     which assembles each micro-batch in parallel chunks.
     """
@@ -54,6 +55,10 @@ def merge_stacktraces_stream(lines: DataFrame, flush_after_ms: int | None = 10_0
                     out.append((*key, number, value, trace or None))
                     trace = []
                 number, value = line_no, text
+            if whole_files:
+                if number is not None:
+                    out.append((*key, number, value, trace or None))
+                number, value, trace = None, None, []
             state.update((None if number is None else int(number), value, trace))
             if flush_after_ms is not None:
                 state.setTimeoutDuration(flush_after_ms)
