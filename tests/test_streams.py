@@ -75,3 +75,20 @@ def test_spike_state_survives_batches(spark, tmp_path, make_entries):
     from tracewell.operators.spikes import detect_spikes
     strip = lambda df: sorted((r["detected_at"], r["rate"], round(r["baseline"], 6), r["service"]) for r in df.collect())
     assert strip(spark.read.parquet(out)) == strip(detect_spikes(entries)) != []
+
+
+def test_known_fingerprints_keep_their_cluster(spark, make_entries, tmp_path):
+    from tracewell.operators.clusters import with_fingerprint
+    from tracewell.streaming.ingest import _with_kept_clusters
+
+    # Of 40 letters the member differs from the first leader in six and from the second in four.
+    first, member, second = "a" * 30 + "b" * 10, "a" * 30 + "b" * 4 + "c" * 6, "a" * 26 + "d" * 4 + "b" * 4 + "c" * 6
+    batches = [[first, member], [second], [member]]
+    found = []
+    for i, messages in enumerate(batches):
+        rows = make_entries([(10 * i + j, float(i), "error", "s", m) for j, m in enumerate(messages)])
+        got = _with_kept_clusters(with_fingerprint(rows), i, str(tmp_path)).select("message", "fingerprint", "cluster_id").collect()
+        found.append({r.message: (r.fingerprint, r.cluster_id) for r in got})
+    leader = found[0][first][0]
+    assert found[0][first][1] == found[0][member][1] == found[2][member][1] == leader
+    assert found[1][second][1] == found[1][second][0] != leader

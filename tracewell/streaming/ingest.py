@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.levels import level_of_rank
 from tracewell.operators.assemble import merge_stacktraces
-from tracewell.operators.clusters import SAMPLES, cluster_summary, top_errors
-from tracewell.operators.fuzzy import cluster_fuzzy
+from tracewell.operators.clusters import SAMPLES, cluster_summary, top_errors, with_fingerprint
+from tracewell.operators.fuzzy import BEFORE_ALL, cluster_templates, distinct_templates
 from tracewell.operators.normalize import normalize_lines
 from tracewell.schema import CLUSTERS, LINES
 from tracewell.session import cut_lineage
@@ -83,11 +83,30 @@ def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
 
 def _enriched(complete: DataFrame, batch_id: int, store: str, sources, templates, fuzzy: bool, options: dict) -> DataFrame:
     entries = normalize_lines(complete, sources, templates, **options)
-    if not fuzzy:
-        return entries
-    known = read_snapshot(complete.sparkSession, f"{store}/clusters", batch_id)
-    leaders = None if known is None else known.select("fingerprint", "template")
-    return cluster_fuzzy(cut_lineage(entries), leaders)
+    return _with_kept_clusters(entries, batch_id, store) if fuzzy else entries
+
+
+def _with_kept_clusters(entries: DataFrame, batch_id: int, store: str) -> DataFrame:
+    """Fuzzy clusters in which a fingerprint keeps the cluster that it first got.
+
+    ``store/members`` has a version for each batch with ``fingerprint, template, cluster_id,
+    leader_template, leader_order`` of all fingerprints so far. Only unknown ones are
+    compared, with the leaders; of equally similar leaders that of the oldest batch wins.
+    """
+    spark, path, version = entries.sparkSession, f"{store}/members", batch_id + 1
+    entries = cut_lineage(entries if "fingerprint" in entries.columns else with_fingerprint(entries))
+    if snapshot_version(spark, path) < version:
+        known = read_snapshot(spark, path, batch_id)
+        new, leaders = distinct_templates(entries), None
+        if known is not None:
+            new = new.join(known.select("fingerprint"), "fingerprint", "left_anti")
+            leaders = known.where("fingerprint = cluster_id").select("fingerprint", "template", F.col("leader_order").alias("seq"))
+        found = cluster_templates(new, leaders).drop("score").withColumn("leader_order", F.lit(BEFORE_ALL + batch_id))
+        if known is not None:
+            found = known.unionByName(found.join(known.select("fingerprint"), "fingerprint", "left_anti"))
+        write_snapshot(found, path, version)
+    members = read_snapshot(spark, path, version).select("fingerprint", "cluster_id", F.col("leader_template").alias("template"))
+    return entries.drop("cluster_id", "template").join(members, "fingerprint")
 
 
 def close_pending(spark: SparkSession, store: str, sources: DataFrame | None = None, templates=(), fuzzy: bool = False, **options) -> None:
