@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewell.llm.texts import lowered
 from tracewell.session import cut_lineage
 
+# A list of rules up to this size goes to every task, so frequent tokens need no shuffle.
+SENT_RULES = 50_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,6 +81,10 @@ def url_parts(url: Column) -> dict[str, Column]:
     }
 
 
+def _sent(table: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return F.broadcast(table) if len(rules) <= SENT_RULES else table
+
+
 def _rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rules with the rarest of their tokens; tokens that no URL has are the rarest of all."""
     spark = urls.sparkSession
@@ -85,7 +92,8 @@ def _rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         [(i, r.name, r.verdict, r.pattern, list(r.tokens) or [""], r.rank) for i, r in enumerate(rules)],
         "rule_no int, name string, verdict string, pattern string, tokens array<string>, rank int")
     wanted = table.select("rule_no", F.explode("tokens").alias("token"))
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token").groupBy("token").count()
+    names = _sent(wanted.select("token").distinct(), rules)
+    counts = urls.select(F.explode("tokens").alias("token")).join(names, "token").groupBy("token").count()
     rarest = wanted.join(counts, "token", "left").groupBy("rule_no").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)), "token"))["token"].alias("token"))
     return table.drop("tokens").join(rarest, "rule_no")
@@ -104,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "
     parts = parts.withColumn("subject", F.concat("host", "path", "tail"))
     tokens = F.array_append(F.array_distinct(F.regexp_extract_all(lowered(F.col("subject")), F.lit("[a-z0-9]+"), 0)), F.lit(""))
     urls = cut_lineage(parts.withColumn("tokens", tokens))
-    fetched = urls.select("url", "subject", F.explode("tokens").alias("token")).join(cut_lineage(_rule_index(urls, rules)), "token")
+    fetched = urls.select("url", "subject", F.explode("tokens").alias("token")).join(_sent(cut_lineage(_rule_index(urls, rules)), rules), "token")
     best = fetched.where(F.expr("subject rlike pattern")).groupBy("url").agg(
         F.max(F.struct("rank", F.when(F.col("rank") > 0, F.length("name")).otherwise(0).alias("size"),
                        (F.col("verdict") == "block").alias("block"), "name", "verdict")).alias("best"))
