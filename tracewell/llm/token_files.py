@@ -41,6 +41,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Codes(dict):
+    """Numbers of runs in order of their first use; asking for a new one adds it."""
+
+    def __missing__(self, run: bytes) -> int:
+        self[run] = code = len(self)
+        return code
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that start at ``first`` and have ``count`` values, one after the other."""
+    ends = np.cumsum(count)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)]
+
+
 class Encoder:
     """Ids of texts, each distinct run between white space encoded once.
 
@@ -61,10 +75,22 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes = _Codes()
         self.parts: dict[bytes, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the runs that occurred more than once, at most half of ``CACHE`` of them, the most frequent."""
+        often = np.flatnonzero(self.used > 1)
+        if len(often) > CACHE // 2:
+            often = np.sort(often[np.argpartition(-self.used[often], CACHE // 2)[:CACHE // 2]])
+        runs, ids, first, count, used = list(self.codes), self.ids, self.first[often], self.count[often], self.used[often]
+        self._clear()
+        self.codes.update(zip([runs[i] for i in often.tolist()], range(len(often)), strict=True))
+        # Older uses weigh half, so runs of earlier texts give way.
+        self.ids, self.first = _gathered(ids, first, count), np.cumsum(count) - count
+        self.count, self.used = count, used // 2
 
     def _whole(self, run: bytes) -> list[int]:
         return self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -72,41 +98,42 @@ class Encoder:
     def _word(self, word: bytes) -> list[int]:
         found = self.parts.get(word)
         if found is None:
-            lower = word.decode().lower().encode().decode("latin-1").translate(self.letters)
+            lower = word.lower().decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.letters)
             found = self.parts[word] = [t.id for t in self.tokenizer.model.tokenize(lower)]
         return found
 
     def _run(self, run: bytes) -> list[int]:
+        if self.direct and run.isalpha():  # ASCII letters alone
+            return self._word(run)
         split = self.LETTERS.fullmatch(run) if self.direct else None
         if split is None:
             return self._whole(run)
-        if not split[2]:
-            return self._word(split[1])
-        mark = self.parts.get(split[2])
+        word, marks = split.groups()
+        if not marks:
+            return self._word(word)
+        mark = self.parts.get(marks)
         if mark is None:
-            mark = self.parts[split[2]] = self._whole(split[2])
-        return self._word(split[1]) + mark
+            mark = self.parts[marks] = self._whole(marks)
+        return self._word(word) + mark
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids of each text."""
+        if len(self.codes) > CACHE:
+            self._shrink()
+        known = len(self.codes)
         runs = [text.split() for text in texts]
         flat = list(itertools.chain.from_iterable(runs))
-        new = set(flat).difference(self.codes)
-        if len(self.codes) + len(new) > CACHE:
-            self._clear()
-            new = set(flat)
+        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        new = list(itertools.islice(reversed(self.codes), len(self.codes) - known))[::-1]
         made = [self._run(run) for run in new]
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         self.first = np.r_[self.first, len(self.ids) + np.cumsum(sizes) - sizes]
         self.count = np.r_[self.count, sizes]
         self.ids = np.r_[self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(sizes.sum()))]
-        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        self.used = np.r_[self.used, np.zeros(len(made), np.int64)] + np.bincount(code, minlength=len(self.codes))
         count = self.count[code]
-        ends = np.cumsum(count)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[code] - ends + count, count)
-        per_text = np.r_[0, ends][np.cumsum([0, *map(len, runs)])]
-        return self.ids[place], np.diff(per_text)
+        per_text = np.r_[0, np.cumsum(count)][np.cumsum([0, *map(len, runs)])]
+        return _gathered(self.ids, self.first[code], count), np.diff(per_text)
 
 
 def _encode(path: str, end_id: int, dtype: str):
