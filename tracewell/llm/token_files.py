@@ -30,7 +30,9 @@ CHUNK = 1 << 16
 END_ID = 1
 FILE_BYTES = 32 << 20
 MOST_FILES = 20_000
-CACHE = 400_000
+CACHE = 150_000
+# Texts encoded at a time; what this takes as Python objects is about thirty times as much.
+ENCODED_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- encoding
@@ -143,7 +145,7 @@ def _encode(path: str, end_id: int, dtype: str):
     def run(batches):
         encoder = None
         for batch in batches:
-            for rows, text, bounds in A.text_slices(batch.column(4)):
+            for rows, text, bounds in A.text_slices(batch.column(4), ENCODED_BYTES):
                 encoder = encoder or Encoder(path, direct_words(path))
                 ids, sizes = encoder.encode([text[bounds[i]:bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)])
                 # The end id goes behind each text.
