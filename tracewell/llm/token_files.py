@@ -30,7 +30,7 @@ CHUNK = 1 << 16
 END_ID = 1
 FILE_BYTES = 32 << 20
 MOST_FILES = 20_000
-CACHE = 150_000
+CACHE = 300_000
 # Texts encoded at a time; what this takes as Python objects is about thirty times as much.
 ENCODED_BYTES = 1 << 20
 
