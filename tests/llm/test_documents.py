@@ -243,3 +243,20 @@ def test_odd_and_empty_tables(odd_docs, name):
     rows = OPERATORS[name](odd_docs).count()
     assert rows == {"lines": 11, "secrets": 0}.get(name, 9)
     assert OPERATORS[name](odd_docs.limit(0)).count() == 0
+
+
+def test_encoder_forgets_rare_runs_without_changing_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE", 8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.Encoder(path, token_files.direct_words(path))
+    whole = Tokenizer.from_file(path)
+    texts = [f"The river {n} ÉTÉ river, don't x{n} {'abc' * n}. the\tThe" for n in range(40)] + [""]
+    for text in texts:
+        ids, sizes = encoder.encode([text.encode(), b"", b"the river"])
+        wanted = [whole.encode(t, add_special_tokens=False).ids for t in (text, "", "the river")]
+        assert sizes.tolist() == [len(w) for w in wanted]
+        assert ids.tolist() == [i for w in wanted for i in w]
+        assert len(encoder.codes) < 30

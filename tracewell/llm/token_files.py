@@ -31,7 +31,7 @@ END_ID = 1
 FILE_BYTES = 32 << 20
 MOST_FILES = 20_000
 CACHE = 300_000
-# Texts encoded at a time; what this takes as Python objects is about thirty times as much.
+# Bytes of text encoded at a time, whose words are Python objects for that long.
 ENCODED_BYTES = 1 << 20
 
 
