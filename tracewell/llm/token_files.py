@@ -13,6 +13,7 @@ its commit protocol to any store, and the index columns are read without the pla
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ MOST_FILES = 20_000
 CACHE = 300_000
 # Bytes of text encoded at a time, whose words are Python objects for that long.
 ENCODED_BYTES = 1 << 20
+TOKEN_ID = operator.attrgetter("id")
 
 
 # ---------------------------------------------------------------- encoding
@@ -72,6 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Kept, since each look-up of the attribute makes a new wrapper.
+        self.merge = self.tokenizer.model.tokenize
         self.direct = direct
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._clear()
@@ -101,7 +105,7 @@ class Encoder:
         found = self.parts.get(word)
         if found is None:
             lower = word.lower().decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.letters)
-            found = self.parts[word] = [t.id for t in self.tokenizer.model.tokenize(lower)]
+            found = self.parts[word] = list(map(TOKEN_ID, self.merge(lower)))
         return found
 
     def _run(self, run: bytes) -> list[int]:
