@@ -490,15 +490,13 @@ def flat(df: DataFrame, *keys: str) -> DataFrame:
     return only_parsed(df).select(*keys, *[F.col(f"parsed.{c}").alias(c) for c in PARSED])
 
 
-def kind(spark, sf, n: int) -> DataFrame:
-    """Lines of one of the six formats."""
-    return fx.lines(spark, sf).where(f"(line_no div 10) % 6 = {n}")
+JSON_LINES_SQL = f"""{LINES_SQL}, jx as (select *, case when json_valid(value) then value::json end as j from lx where json_valid(value))"""
 
 
-@query("parse_json", f"""with {LINES_SQL} select source_id, line_no, (value->>'timestamp')::timestamp as "timestamp", value->>'level' as level, value->>'service' as service,
-  value->>'message' as message, 'json' as format from lx where seq % 6 = 0""")
+@query("parse_json", f"""with {JSON_LINES_SQL} select source_id, line_no, coalesce(j->>'timestamp', j->>'time')::timestamp as "timestamp", coalesce(j->>'level', 'unknown') as level,
+  j->>'service' as service, coalesce(j->>'log', j->>'message') as message, case when j->>'log' is null then 'json' else 'docker' end as format from jx""")
 def _(spark, sf):
-    return flat(parse_json(kind(spark, sf, 0)), "source_id", "line_no")
+    return flat(parse_json(fx.lines(spark, sf)), "source_id", "line_no")
 
 
 @query("parse_json_props", """select event_id, null::timestamp as "timestamp", 'unknown' as level, null::varchar as service, '' as message, 'json' as format,
@@ -508,16 +506,17 @@ def _(spark, sf):
     return df.select("event_id", *[F.col(f"parsed.{c}").alias(c) for c in (*PARSED, "fields")])
 
 
-@query("parse_kv", f"""with {LINES_SQL} select source_id, line_no, regexp_extract(value, 'time=(\\S+)', 1)::timestamp as "timestamp", regexp_extract(value, 'level=(\\S+)', 1) as level,
-  regexp_extract(value, 'service=(\\S+)', 1) as service, regexp_extract(value, 'msg="([^"]*)"', 1) as message, 'key_value' as format from lx where seq % 6 = 1""")
+@query("parse_kv", f"""with {LINES_SQL} select source_id, line_no, nullif(regexp_extract(value, '\\btime=(\\S+)', 1), '')::timestamp as "timestamp",
+  coalesce(nullif(regexp_extract(value, '\\blevel=(\\S+)', 1), ''), 'unknown') as level, nullif(regexp_extract(value, '\\bservice=(\\S+)', 1), '') as service,
+  case when regexp_matches(value, '\\bmsg="') then regexp_extract(value, '\\bmsg="([^"]*)"', 1) else value end as message, 'key_value' as format from lx where trim(value) <> ''""")
 def _(spark, sf):
-    return flat(parse_kv(kind(spark, sf, 1)), "source_id", "line_no")
+    return flat(parse_kv(fx.lines(spark, sf)), "source_id", "line_no")
 
 
-@query("parse_container_envelope", f"""with {LINES_SQL} select source_id, line_no, (value->>'time')::timestamp as "timestamp", 'unknown' as level, null::varchar as service,
-  value->>'log' as message, 'docker' as format from lx where seq % 6 = 4""")
+@query("parse_container_envelope", f"""with {JSON_LINES_SQL} select source_id, line_no, (j->>'time')::timestamp as "timestamp", 'unknown' as level, null::varchar as service,
+  j->>'log' as message, 'docker' as format from jx where j->>'log' is not null""")
 def _(spark, sf):
-    return flat(parse_container_envelope(fx.lines(spark, sf).where("startswith(value, '{')")), "source_id", "line_no")
+    return flat(parse_container_envelope(fx.lines(spark, sf)), "source_id", "line_no")
 
 
 TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?\s*"
@@ -529,11 +528,10 @@ PLAIN_SERVICE = r"""nullif(regexp_extract(rest, '\[([A-Za-z][\w\-.]{1,40})\]', 1
 PLAIN_MESSAGE = rf"""regexp_replace(regexp_replace(rest, '{LEVEL_WORD}', ''), '^[^\p{{L}}\p{{N}}/.]+|[^\p{{L}}\p{{N}}/.]+$', '', 'g')"""
 
 
-@query("parse_plaintext", f"""with {LINES_SQL} select source_id, line_no, trim(head)::timestamp as "timestamp", {PLAIN_LEVEL} as level, {PLAIN_SERVICE} as service,
-  {PLAIN_MESSAGE} as message, 'plaintext' as format from {PLAIN_SQL.replace('@source', 'lx')} where seq % 6 in (2, 5) and starts_with(value, '2024')""")
+@query("parse_plaintext", f"""with {LINES_SQL} select source_id, line_no, nullif(trim(head), '')::timestamp as "timestamp", {PLAIN_LEVEL} as level, {PLAIN_SERVICE} as service,
+  case when {PLAIN_MESSAGE} = '' then trim(rest) else {PLAIN_MESSAGE} end as message, 'plaintext' as format from {PLAIN_SQL.replace('@source', 'lx')} where trim(value) <> ''""")
 def _(spark, sf):
-    text_lines = fx.lines(spark, sf).where("(line_no div 10) % 6 in (2, 5) and startswith(value, '2024')")
-    return flat(parse_plaintext(text_lines), "source_id", "line_no")
+    return flat(parse_plaintext(fx.lines(spark, sf)), "source_id", "line_no")
 
 
 @query("parse_plaintext_documents", f"""with {DOCUMENTS_SQL} select id, {PLAIN_LEVEL} as level, {PLAIN_SERVICE} as service,
