@@ -147,6 +147,17 @@ def test_model_sums_to_one(make_docs):
         assert abs(pairs - 1) < 1e-3
 
 
+def test_model_keeps_all_pairs(make_docs):
+    texts = [prose(i, 50) for i in range(50)]
+    model = perplexity.train(make_docs(list(enumerate(texts))).select("text"), 1e-3, 1e-2)
+    known = {h: i + perplexity.FIRST_WORD for i, h in enumerate(model.vocabulary.hashes.tolist())}
+    ids = lambda t: [known.get(int(h), perplexity.OTHER) for h in arrays.words_of(
+        np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), arrays.BETWEEN_SPACES, lower=True).hashes]
+    pairs = {p for t in texts for p in zip([perplexity.START, *ids(t)], [*ids(t), perplexity.STOP])}
+    assert len(model.pairs.grams) == len(pairs)
+    assert len(model.pairs.contexts) == len({a for a, _ in pairs})
+
+
 def test_suffix_tree_scores(make_docs):
     chain = lambda s: " ".join(random.Random(s).choice(("red fish swims", "blue bird sings", "old dog sleeps")) for _ in range(30))
     rows = [(i, chain(i)) for i in range(120)] + [(500, None), (501, "Never seen"), (None, "red fish")]
