@@ -139,6 +139,12 @@ def test_statistics_and_bands(make_docs):
     assert not any(found[i].kept for i in (900, 901, 902, 903))
 
 
+def test_copies_do_not_set_the_band(make_docs):
+    rows = [(i, prose(i, 80 + i % 40), "en") for i in range(100)] + [(1000 + i, prose(999, 90), "en") for i in range(200)]
+    found = perplexity.quality(make_docs(rows), word_share=1e-3).collect()
+    assert sum(r.kept for r in found if r.doc_id < 1000) >= 95
+
+
 def test_model_sums_to_one(make_docs):
     model = perplexity.train(make_docs([(i, prose(i, 50)) for i in range(50)]).select("text"), 1e-3, 1e-4)
     words = np.arange(1, len(model.single))
