@@ -232,6 +232,13 @@ def test_fuzzy_lines_keep_one_of_each_group(make_docs):
     assert max(groups.values()) == 1
 
 
+def test_fuzzy_lines_count_edits_in_characters(make_docs):
+    # Words of up to three letters are not in the SimHash, so these are candidates.
+    rows = [(1, "an alpha to bravo by charlie"), (2, "in alpha tu bravo by charlie"), (3, "zzz yyy xxx www vvv alpha bravo charlie")]
+    got = {r.doc_id: r for r in fuzzy_lines.fuzzy_lines(make_docs(rows)).collect()}
+    assert got[1].group_id == got[2].group_id != got[3].group_id and got[1].kept and not got[2].kept and got[3].kept
+
+
 def test_secrets_and_false_positives(make_docs):
     rng = random.Random(3)
     code = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
