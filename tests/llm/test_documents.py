@@ -219,6 +219,34 @@ def test_license_labels_and_containment(make_docs):
     assert len(licenses.signatures()) > 300
 
 
+def test_license_keywords_are_in_every_match(make_docs):
+    def sample(parts, rng):
+        out = ""
+        for kind, value in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "IN":
+                out += chr(rng.choice(value)[1])
+            elif kind == "MAX_REPEAT":
+                out += sample(value[2], rng) if rng.random() < 0.5 else ""
+            elif kind == "BRANCH":
+                out += sample(rng.choice(value[1]), rng)
+            else:
+                out += sample(value[3], rng)
+        return out
+    rng = random.Random(5)
+    for rule in licenses.signatures():
+        for _ in range(20):
+            text = sample(re._parser.parse(rule.pattern), rng)
+            assert re.fullmatch(rule.pattern, text) and set(rule.keywords) <= set(text.split()), (rule, text)
+    want = {"MPL-2.0": "mpl-2", "MPL-1.1": "mpl-1", "EPL-2.0": "epl", "BSL-1.0": "boost"}
+    texts = [(f"SPDX-License-Identifier: {k}", v) for k, v in want.items()] + [
+        (f"Licensed under the {k}", v) for k, v in (("GPLv3", "gpl-3"), ("GPL2", "gpl-2"), ("LGPLv3", "lgpl"), ("AGPLv3", "agpl-3"), ("EUPL v1.2", "eupl"))]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(make_docs([(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(texts)}
+
+
 def test_fuzzy_lines_keep_one_of_each_group(make_docs):
     lines = [prose(i, 40) for i in range(30)]
     changed = [near_copy(x, i, 1) for i, x in enumerate(lines)]

@@ -38,30 +38,37 @@ BASE_SIGNATURES = (
     Signature("apache-2", "apache license version 2", ("apache", "license", "version"), 3, 1.0, base=True),
     Signature("cc-by-nc", "cc by nc", ("cc", "nc"), 3, 1.0, base=True),
 )
-# Families: label, leading keyword, names in running text, identifiers.
+# Families: label, leading keyword, names in running text, identifiers, their leading keyword if it is another.
+# A joined spelling is a word of its own, so it has its own family.
 FAMILIES = (
     ("mit", "mit", "mit(?: expat)?", "mit"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
     ("apache-1", "apache", "apache(?: software)?(?: license)?(?: version)? 1(?: [01])?", "apache 1 [01]"),
-    ("gpl-2", "gnu", "gnu general public(?: license)?(?: v| version)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "gnu", "gnu general public(?: license)?(?: v| version)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl-3", "gpl", "gpl ?v?3(?: 0)?", "gpl ?v?3"),
-    ("gpl-2", "gpl", "gpl ?v?2(?: 0)?", "gpl ?v?2"),
-    ("lgpl", "lesser", "gnu lesser general public", "lgpl [23] [01]"),
-    ("lgpl", "lgpl", "lgpl(?: ?v?[23](?: [01])?)?", "lgpl [23] [01](?: only| or later)?"),
-    ("agpl-3", "affero", "gnu affero general public", "agpl 3 0"),
-    ("agpl-3", "agpl", "agpl(?: ?v?3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
+    ("gpl-2", "gnu", "gnu general public(?: license)?(?: v| version)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?", "gpl"),
+    ("gpl-3", "gnu", "gnu general public(?: license)?(?: v| version)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?", "gpl"),
+    ("gpl-3", "gpl", "gpl v?3(?: 0)?", "gpl v?3"),
+    ("gpl-3", "gplv3", "gplv3(?: 0)?", "gplv3"),
+    ("gpl-3", "gpl3", "gpl3(?: 0)?", "gpl3"),
+    ("gpl-2", "gpl", "gpl v?2(?: 0)?", "gpl v?2"),
+    ("gpl-2", "gplv2", "gplv2(?: 0)?", "gplv2"),
+    ("gpl-2", "gpl2", "gpl2(?: 0)?", "gpl2"),
+    ("lgpl", "lesser", "gnu lesser general public", "lgpl [23] [01]", "lgpl"),
+    ("lgpl", "lgpl", "lgpl(?: v?[23](?: [01])?)?", "lgpl [23] [01](?: only| or later)?"),
+    *(("lgpl", f"lgpl{v}", f"lgpl{v}(?: [01])?", None) for v in ("v2", "v3", "2", "3")),
+    ("agpl-3", "affero", "gnu affero general public", "agpl 3 0", "agpl"),
+    ("agpl-3", "agpl", "agpl(?: v?3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
+    *(("agpl-3", f"agpl{v}", f"agpl{v}(?: 0)?", None) for v in ("v3", "3")),
     ("bsd-2", "bsd", "(?:simplified|2 clause|two clause) bsd", "bsd 2 clause"),
     ("bsd-3", "bsd", "(?:new|modified|revised|3 clause|three clause) bsd", "bsd 3 clause"),
     ("bsd", "bsd", "bsd(?: style)?", "bsd [234] clause"),
-    ("mpl-2", "mozilla", "mozilla public(?: license)?(?: v| version)? ?2(?: 0)?", "mpl 2 0"),
-    ("mpl-1", "mozilla", "mozilla public(?: license)?(?: v| version)? ?1(?: 1)?", "mpl 1 1"),
-    ("epl", "eclipse", "eclipse public(?: license)?(?: v| version)? ?[12](?: 0)?", "epl [12] 0"),
+    ("mpl-2", "mozilla", "mozilla public(?: license)?(?: v| version)? ?2(?: 0)?", "mpl 2 0", "mpl"),
+    ("mpl-1", "mozilla", "mozilla public(?: license)?(?: v| version)? ?1(?: 1)?", "mpl 1 1", "mpl"),
+    ("epl", "eclipse", "eclipse public(?: license)?(?: v| version)? ?[12](?: 0)?", "epl [12] 0", "epl"),
     ("eupl", "eupl", "eupl(?: v?1(?: [12])?)?", "eupl 1 [12]"),
     ("cddl", "cddl", "cddl(?: 1(?: [01])?)?", "cddl 1 [01]"),
     ("isc", "isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("boost", "boost", "boost software", "bsl 1 0"),
+    ("boost", "boost", "boost software", "bsl 1 0", "bsl"),
     ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
     ("artistic", "artistic", "artistic(?: license)?(?: 2(?: 0)?)?", "artistic 2 0"),
     ("ofl", "ofl", "(?:sil )?ofl(?: 1(?: 1)?)?", "ofl 1 1"),
@@ -97,11 +104,15 @@ GENERIC = (
 
 def signatures() -> tuple[Signature, ...]:
     """All rules in order: each statement about each family, after the base phrases."""
-    made = [
-        Signature(label, statement.format(name=f"(?:{name})", id=f"(?:{identifier})"), (lead, keyword), priority, score)
-        for keyword, statement, priority, score in STATEMENTS
-        for label, lead, name, identifier in FAMILIES
-    ]
+    made = []
+    for keyword, statement, priority, score in STATEMENTS:
+        for label, lead, name, identifier, *other in FAMILIES:
+            if "{id}" in statement:
+                if identifier is None:
+                    continue
+                lead = other[0] if other else lead
+            pattern = statement.format(name=f"(?:{name})", id=f"(?:{identifier})")
+            made.append(Signature(label, pattern, (lead, keyword), priority, score))
     return BASE_SIGNATURES + tuple(made) + GENERIC
 
 
