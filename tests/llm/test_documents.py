@@ -283,6 +283,21 @@ def test_secrets_and_false_positives(make_docs):
     assert all(dict((r[0], r[1]) for r in rows)[r.doc_id][r.start:r.start + len(r.candidate)] == r.candidate for r in got)
 
 
+def test_secret_candidates_of_all_alphabets(make_docs):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    code = lambda n, more="": "".join(rng.choice(letters + more) for _ in range(n))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{code(64, '0123456789+/')}\n{code(20, '0123456789+/')}==\n-----END RSA PRIVATE KEY-----"
+    values = [code(10, "0123456789+/") + "/" + code(28, "0123456789+/") + "7" for _ in range(50)]
+    values += ["glpat-" + code(19) + "3", "sk-proj-" + code(30), "github_pat_" + code(50), "npm_" + code(36), "hf_" + code(34), block]
+    rows = [(i, f"see {v} there") for i, v in enumerate(values)]
+    assigned = ["hunter2", "correcthorse", "p@ss!w0rd", "x", "a-b"]
+    rows += [(100 + i, f"password={v}\nnext") for i, v in enumerate(assigned)] + [(200 + i, f'"secret": "{v}", next') for i, v in enumerate(assigned + ["two words"])]
+    found = {r.doc_id: r.candidate for r in secrets.scan_secrets(make_docs(rows)).collect()}
+    want = dict(enumerate(values)) | {100 + i: v for i, v in enumerate(assigned)} | {200 + i: v for i, v in enumerate(assigned + ["two words"])}
+    assert found == want
+
+
 OPERATORS = {
     "mix": lambda d: mixing.mix_sources(d), "near": lambda d: neardup.near_duplicates(d), "quality": lambda d: perplexity.quality(d),
     "lines": lambda d: fuzzy_lines.fuzzy_lines(d), "tree": lambda d: suffix_tree.score_documents(d), "licenses": lambda d: licenses.scan_licenses(d),

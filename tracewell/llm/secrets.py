@@ -16,20 +16,36 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tracewell.llm.texts import text_marks
 from tracewell.session import cut_lineage
 
+SECRET_NAMES = "pass(?:word|wd)?|pwd|secret|token|api.?key|access.?key|credential|auth(?:orization)?|bearer|private"
+SECRET_WORDS = rf"(?i)(?:{SECRET_NAMES})"
+# After a secret's name and a sign of assignment; the short test comes first, since it fails almost everywhere.
+ASSIGNED = rf"""(?<=[=:]\s{{0,3}}["']?)(?<=(?i:{SECRET_NAMES}|[._-]key)["']?\s{{0,3}}[=:]{{1,2}}\s{{0,3}}["']?)"""
+KEY_EDGE = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 # Formats: kind and pattern. The order decides which of two that start alike is taken.
 FORMATS = (
+    ("key_block", rf"-----BEGIN {KEY_EDGE}(?:[A-Za-z0-9+/=\s:,.\\()-]*?-----END {KEY_EDGE})?"),
     ("aws", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("github_fine", r"github_pat_[A-Za-z0-9_]{22,}"),
+    ("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    ("openai", r"sk-proj-[A-Za-z0-9_-]{20,}"),
+    ("npm", r"npm_[A-Za-z0-9]{36,}"),
+    ("huggingface", r"hf_[A-Za-z0-9]{30,}"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google", r"AIza[0-9A-Za-z_-]{35}"),
     ("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Values in quotes go up to the quote, others up to a space or separator.
+    ("assigned", ASSIGNED + r"""(?:(?<=")[^"\n]+(?=")|(?<=')[^'\n]+(?=')|(?<!["'])[^\s"'`,;<>]+)"""),
     ("hex", r"[0-9a-fA-F]{16,}"),
+    # With = at the end only, so that a name before it is not part of the value; or with = anywhere after letters and digits.
+    ("mixed", r"(?=[A-Za-z_/+-]*[0-9])(?=[0-9_/+-]*[A-Za-z])[A-Za-z0-9_/+-]{14,}={0,2}"),
     ("mixed", r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9_/+=-]{14,}"),
 )
+# Formats that are enough to call a string a secret.
+KNOWN = tuple(p for kind, p in FORMATS if kind not in ("assigned", "hex", "mixed"))
 # A search starts only at the edge of a word.
 CANDIDATE = "(?<![A-Za-z0-9_/+-])(?:" + "|".join(f"({p})" for _, p in FORMATS) + ")(?![A-Za-z0-9_/+=-])"
-SECRET_WORDS = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api.?key|access.?key|credential|auth(?:orization)?|bearer|private)"
 HARMLESS_WORDS = r"(?i)(?:example|sample|dummy|placeholder|your|changeme|test|fake|sha-?[0-9]*|md5|commit|checksum|digest|hash|uuid|etag|revision)"
 TEST_PATHS = r"(?i)(?:test|example|sample|fixture|mock|docs?/)"
 FEATURES = ("length", "distinct", "digits", "uppers", "hexes", "changes", "covered", "assigned", "secret_words", "harmless_words", "test_path", "in_path")
@@ -105,9 +121,11 @@ def label_findings(described: DataFrame) -> DataFrame:
     examples, are secrets. Numbers, dictionary words, repeated characters and strings that
     words around call digests or examples are not.
     """
-    known = F.col("candidate").rlike("^(?:" + "|".join(p for kind, p in FORMATS if kind not in ("hex", "mixed")) + ")$")
+    known = F.col("candidate").rlike("^(?:" + "|".join(KNOWN) + ")$")
     plain = (F.col("harmless_words") == 0) & (F.col("distinct") > 0.25)
-    secret = plain & (known | ((F.col("assigned") == 1) & (F.col("secret_words") == 1)))
+    # Assigned values without digits that are mostly words are left to the forest.
+    coded = (F.col("digits") > 0) | (F.col("covered") <= 0.6)
+    secret = plain & (known | ((F.col("assigned") == 1) & (F.col("secret_words") == 1) & coded))
     false = (F.col("harmless_words") == 1) | (F.col("digits") == 1) | (F.col("covered") > 0.6) | (F.col("distinct") <= 0.25) | (
         (F.col("secret_words") == 0) & (F.col("assigned") == 0) & ~known)
     return described.withColumn("label", F.when(secret, 1.0).when(false, 0.0)).where("label is not null")
