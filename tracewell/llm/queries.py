@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import fuzzy_lines, licenses, mixing, neardup, perplexity, secrets, suffix_tree, token_files, urls, winnow
+from tracewell.llm import (
+    fuzzy_lines, languages, licenses, mixing, neardup, perplexity, secrets, spelling, suffix_tree, token_files, urls, winnow,
+)
 from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +156,44 @@ def op3_fuzzy_lines(spark, sf):
 @query("op8_secret_scan")
 def op8_secret_scan(spark, sf):
     return secrets.scan_secrets(table(spark, sf, "documents"))
+
+
+@query("op11_languages")
+def op11_languages(spark, sf):
+    return languages.identify_languages(table(spark, sf, "documents"))
+
+
+# The table of CRC-32 by its rule, and the checksum of an SQL string that reads it as ``t``.
+CRC_TABLE = ("list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), "
+             "lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))")
+
+
+def crc_sql(text: str) -> str:
+    octets = f"hex(encode({text}))"
+    values = f"list_transform(range(cast(length({octets}) / 2 as bigint)), lambda i: cast('0x' || {octets}[2 * i + 1:2 * i + 2] as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {values}), lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8)), 4294967295)"
+
+
+SPELL_SQL = rf"""
+with recursive t as materialized (select {CRC_TABLE} as t),
+d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+s as (select run, count(*) as n, length(run) as l, coalesce(cast(doc_id as varchar), '') || ':' || run as k from d where length(run) >= 5 group by doc_id, run),
+c as (select run, n, l, {crc_sql('k')} as h from s, t),
+w as (select case when h % 97 = 0 then run[1:h % l] || run[h % l + 2:] else run end as word, sum(n) as n from c group by 1),
+v as (select word, cast(n as bigint) as n, length(word) as l from w where length(word) >= 5 and n >= 3),
+g as (select word, n, l, i, word[1:i - 1] || word[i + 1:] as cut from (select *, unnest(range(1, l + 1)) as i from v)),
+near as (select distinct a.word, b.word as near, b.n as near_n from g a join g b on a.cut = b.cut and a.i = b.i and a.l = b.l and a.word <> b.word
+  union select g.word, v.word, v.n from g join v on g.cut = v.word
+  union select v.word, g.word, g.n from g join v on g.cut = v.word),
+b as (select word, count(*) as n_near, min({{'down': -near_n, 'near': near}}) as best from near group by word),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when -best.down >= 2 * v.n then best.near end as form,
+  case when -best.down >= 2 * v.n then -best.down end as form_n from v left join b using (word)),
+r(word, root) as (select word, form from f where form is not null union all select r.word, f.form from r join f on f.word = r.root where f.form is not null),
+e as (select r.word, r.root from r join f on f.word = r.root where f.form is null)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from f left join e using (word)
+"""
+
+
+@query("op13_spelling_variants", SPELL_SQL)
+def op13_spelling_variants(spark, sf):
+    return spelling.spelling_variants(table(spark, sf, "documents"))
