@@ -70,7 +70,7 @@ def presence(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
             inside = owner[:n] == owner[size - 1:size - 1 + n]
             flat[(owner[:n] + feature[first:first + n])[inside]] = True
         # Eight marks at a time: nearly all are empty.
-        words = np.flatnonzero(flat.view(np.uint64))
+        words = np.flatnonzero(flat.view(np.uint64) != 0)
         row, bit = np.nonzero(flat.reshape(-1, 8)[words])
         at = words[row] * 8 + bit
         parts.append(at % BINS)
@@ -82,13 +82,15 @@ def presence(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _product(present: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The presence matrix of a slice times a table of a row for each feature, as many texts at a time as fill a block."""
     out = np.zeros((len(bounds) - 1, table.shape[1]), np.float64)
+    # Sums of marks are whole and small enough for single precision.
+    wide = np.float32 if table.dtype == np.uint8 else np.float64
     block = max(1, (1 << 22) // table.shape[1])
     low = 0
     while low < len(out):
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + block, side="right")) - 1)
         filled = np.flatnonzero(np.diff(bounds[low:high + 1])) + low
         if len(filled):
-            rows = table[present[bounds[low]:bounds[high]]].astype(np.float64)
+            rows = table[present[bounds[low]:bounds[high]]].astype(wide)
             out[filled] = np.add.reduceat(rows, bounds[filled] - bounds[low])
         low = high
     return out
