@@ -1,5 +1,7 @@
 """Languages, conversations and spelling variants against brute force, and on odd rows."""
 
+import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracewell.llm import languages, spelling
+from tracewell.llm import conversations, languages, spelling
 
 LETTERS = re.compile("[A-Za-z\u00c0-\u00ff]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,6 +77,95 @@ def test_languages_of_odd_and_no_rows(odd_docs, make_docs):
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
 
 
+# ---------------------------------------------------------------- conversations
+CONVERSATIONS = "conv_id long, turn long, role string, text string, copy string, dropped string, body string, first string"
+PATTERN = re.compile(r"(s?(ua)+)?\Z")
+
+
+def cheapest(rows):
+    """The least of (cost, edits) over all edit strings; rows are (role, fault)."""
+    best = None
+    for edits in itertools.product("DKR", repeat=len(rows)):
+        if any(e != "D" and f in ("blank", "duplicate") for e, (_, f) in zip(edits, rows, strict=True)):
+            continue
+        for inserts in itertools.product(range(3), repeat=len(rows) + 1):
+            # An R or I is whatever the pattern needs there.
+            said, cost, audit = "", 0, ""
+            for i, count in enumerate(inserts):
+                for edit in "I" * count + (edits[i] if i < len(rows) else ""):
+                    audit += edit
+                    if edit in "RI":
+                        said += "u" if not said or said[-1] in "sa" else "a"
+                    elif edit == "K":
+                        said += rows[i][0][:1]
+                    cost += {"K": 0, "R": 3, "D": 4, "I": 3}[edit] + (3 if edit in "KR" and rows[i][1] == "truncated" else 0)
+            if PATTERN.match(said) and (best is None or (cost, audit) < best):
+                best = (cost, audit)
+    return best
+
+
+def repaired(rows):
+    out = []
+    repair = conversations.Repair(lambda edit, role, row: out.append((edit, role, row)))
+    for role, fault in rows:
+        repair.add(fault, (role,))
+    cost = repair.end()
+    assert PATTERN.match("".join(role[:1] for _, role, _ in out if role))
+    return (cost, "".join(edit for edit, _, _ in out)), repair
+
+
+def test_repair_is_the_cheapest_of_all_edits():
+    faults = ("none", "none", "truncated", "duplicate", "blank")
+    for seed in range(150):
+        rng = random.Random(seed)
+        rows = [(rng.choice(["user", "assistant", "system", "tool", "user"]), rng.choice(faults)) for _ in range(rng.randrange(5))]
+        assert repaired(rows)[0] == cheapest(rows)
+
+
+def test_repair_holds_only_the_unresolved_stretch():
+    rng = random.Random(3)
+    rows = [(rng.choice(["user", "assistant", "system"]), "none") for _ in range(20_000)]
+    found, repair = repaired(rows)
+    assert repair.most_waiting < 60
+    # A tie that never ends is held whole and still decided right.
+    assert repaired([("user", "none")] * 1000)[0] == (1500, "KR" * 500)
+
+
+def test_conversations_of_odd_rows(spark):
+    rows = [
+        (1, None, "user", "Hi."), (1, 3, "assistant", "Yes."), (1, 3, "assistant", "Yes."), (1, 7, "user", "Hi."),
+        (2, 1, None, "x"), (2, 2, "", ""), (None, None, None, None), (3, 5, "system", "Be. \t\n"),
+        (4, 0, "user", "long " * 400_000 + "end."), (4, 1, "assistant", "ok?\x0b\x0c"),
+    ]
+    table = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], CONVERSATIONS)
+    found = {r.conv_id: r for r in conversations.repair_digests(conversations.undamaged(table)).collect()}
+    assert set(found) == {1, 2, 3, 4, None}
+    one = found[1]
+    assert (one.gaps, one.blank, one.duplicate, one.truncated, one.illegal, one.cost, one.audit) == (3, 0, 2, 0, 1, 8, "KKDD")
+    assert one.repaired_sha256 == hashlib.sha256(b"user:Hi.\nassistant:Yes.").hexdigest()
+    assert (found[2].gaps, found[2].blank, found[2].truncated, found[2].illegal) == (0, 1, 1, 1)
+    assert (found[None].gaps, found[None].blank, found[None].audit) == (0, 1, "D")
+    assert (found[3].cost, found[3].audit, found[3].repaired_sha256) == (4, "D", hashlib.sha256(b"").hexdigest())
+    assert (found[4].cost, found[4].audit) == (0, "KK")
+    edits = sorted(conversations.repair_rows(conversations.undamaged(table)).where("conv_id = 1").collect(), key=lambda r: r.place)
+    assert [(r.edit, r.role, r.text) for r in edits] == [("K", "user", "Hi."), ("K", "assistant", "Yes."), ("D", None, None), ("D", None, None)]
+    assert conversations.repair_digests(conversations.damaged(table.limit(0))).collect() == []
+
+
+def test_damage_keeps_every_conversation(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"a! b? {t}.") for i in range(60) for t in range(3)] + [(i, 0, "user", "x") for i in range(60, 200)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in conversations.repair_digests(conversations.damaged(table)).collect()}
+    assert set(found) == set(range(200))
+    kind = lambda r: zlib.crc32(f"{r[0]}:{r[1]}".encode()) % 20
+    gone = [r[0] for r in rows if r[0] >= 60 and kind(r) == 0]
+    assert gone and all((found[i].cost, found[i].audit, found[i].gaps, found[i].repaired_sha256) == (0, "", 0, hashlib.sha256(b"").hexdigest()) for i in gone)
+    kept = conversations.damaged(table).collect()
+    assert all(r.text == "" for r in kept if kind(r) == 1) and all(r.role == "user" for r in kept if kind(r) == 4)
+    assert all(not set(r.text) & set(".!?") for r in kept if kind(r) == 2)
+    assert len(kept) == len(rows) + sum(kind(r) == 3 for r in rows)
+
+
 # ---------------------------------------------------------------- spelling variants
 def counted(rows):
     counts = Counter()

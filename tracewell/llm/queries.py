@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.llm import (
-    fuzzy_lines, languages, licenses, mixing, neardup, perplexity, secrets, spelling, suffix_tree, token_files, urls, winnow,
+    conversations, fuzzy_lines, languages, licenses, mixing, neardup, perplexity, secrets, spelling, suffix_tree, token_files, urls, winnow,
 )
 from tracewell.llm.texts import PLAIN_WORDS, UPPER, WORDS
 
@@ -174,6 +174,56 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {values}), lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8)), 4294967295)"
 
 
+REPAIR_SQL = rf"""
+with recursive t as materialized (select {CRC_TABLE} as t),
+x as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+d as (select *, {crc_sql('k')} % 20 as c from x, t),
+e as (select conv_id, turn, case when c = 4 then 'user' else role end as role,
+  case when c = 1 then '' when c = 2 then translate(text, '.!?', '') else text end as text, unnest(case when c = 3 then [0, 1] else [0] end) as copy
+  from d where c <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+  row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+  right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as body from e),
+f as (select *, case when body = '' then 'blank' when seen > 1 then 'duplicate' when body not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  role[1:1] as r, lag(role[1:1]) over (partition by conv_id order by i) as r0 from o),
+-- States 1 to 4: nothing yet, after s, after u, after a; what comes next, and the state after 0, 1 and 2 inserts.
+m as (select ['u', 'u', 'a', 'u'] as need, [3, 3, 4, 3] as after, [[1, 3, 4], [2, 3, 4], [3, 4, 3], [4, 3, 4]] as moved,
+  [['user:', 'assistant:'], ['user:', 'assistant:'], ['assistant:', 'user:'], ['user:', 'assistant:']] as put),
+v(conv_id, i, s) as (
+  select distinct conv_id, 0::bigint, [{{'q': 1, 'cost': 0, 'audit': '', 'said': []::varchar[]}}] from conversations
+  union all
+  select v.conv_id, f.i, (
+    select list({{'q': b.q, 'cost': b.cost, 'audit': b.audit, 'said': b.said}}) from (
+      select z.q as q, unnest(list_sort(list(z))[1:1], recursive := true) from (
+        select unnest(list_filter(flatten(list_transform(s, lambda p: flatten(list_transform([0, 1, 2], lambda n: list_transform(['D', 'K', 'R'], lambda a: {{
+          'q': case when a = 'D' then moved[p.q][n + 1] when a = 'R' then after[moved[p.q][n + 1]]
+            when r = need[moved[p.q][n + 1]] then after[moved[p.q][n + 1]] when r = 's' and moved[p.q][n + 1] = 1 then 2 else 0 end,
+          'cost': p.cost + 3 * n + case a when 'D' then 4 when 'R' then 3 else 0 end + case when a <> 'D' and fault = 'truncated' then 3 else 0 end,
+          'audit': p.audit || repeat('I', n) || a,
+          'said': p.said || put[p.q][1:n] || case a when 'D' then [] when 'K' then [role || ':' || text]
+            else [case need[moved[p.q][n + 1]] when 'u' then 'user:' else 'assistant:' end || text] end}}))))),
+          lambda z: z.q > 0 and (z.audit like '%D' or fault not in ('blank', 'duplicate')))) as z) group by z.q) b)
+  from v join f on f.conv_id is not distinct from v.conv_id and f.i = v.i + 1, m),
+n as (select conv_id, max(i) as i from v group by conv_id),
+w as (select v.conv_id, list_sort(list_transform(s, lambda p: {{
+    'cost': p.cost + [0, 6, 3, 0][p.q], 'audit': p.audit || ['', 'II', 'I', ''][p.q], 'said': p.said || put[p.q][1:[0, 2, 1, 0][p.q]]}}))[1] as best
+  from v join n on v.conv_id is not distinct from n.conv_id and v.i = n.i, m),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+  count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (r0 is not null and r0 || r not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select w.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(best.cost as bigint) as cost, best.audit as audit,
+  sha256(array_to_string(best.said, chr(10))) as repaired_sha256
+from w left join g on w.conv_id is not distinct from g.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark, sf):
+    return conversations.repair_digests(conversations.damaged(table(spark, sf, "conversations")))
+
+
 SPELL_SQL = rf"""
 with recursive t as materialized (select {CRC_TABLE} as t),
 d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
