@@ -151,6 +151,12 @@ def _kernel_rows(landmarks):
     return run
 
 
+def _blocks(packed: np.ndarray, width: int = 2048):
+    """The landmarks' presence, some features at a time, as numbers."""
+    for low in range(0, packed.shape[1], width):
+        yield np.unpackbits(packed[:, low:low + width], axis=1).astype(np.float32)
+
+
 def train(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the weights of each feature for each of them.
 
@@ -174,17 +180,19 @@ def train(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE, rid
     kernel = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in rows.column("values")])
     wanted = np.array(rows.column("lang").to_pylist(), object)
 
-    bits = np.unpackbits(packed, axis=1).astype(np.float32)
-    size = np.sqrt(np.maximum(bits.sum(axis=1), 1)).astype(np.float64)
-    own = (bits @ bits.T).astype(np.float64) / size[:, None] / size
+    counts = np.zeros((len(packed), len(packed)))
+    for part in _blocks(packed):
+        counts += part @ part.T
+    size = np.sqrt(np.maximum(np.diag(counts), 1))
+    own = counts / size[:, None] / size
     values, vectors = np.linalg.eigh(own)
     used = values > values.max() * 1e-10
     root = vectors[:, used] / np.sqrt(values[used])
     features = kernel @ root
     target = np.where(wanted[:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
     solved = np.linalg.solve(features.T @ features + ridge * len(features) * np.eye(features.shape[1]), features.T @ target)
-    weights = (root @ solved) / size[:, None]
-    return languages, (bits.T.astype(np.float64) @ weights).astype(np.float32)
+    weights = ((root @ solved) / size[:, None]).astype(np.float32)
+    return languages, np.concatenate([part.T @ weights for part in _blocks(packed)])
 
 
 # ---------------------------------------------------------------- prediction
