@@ -26,6 +26,7 @@ from tracewell.session import shared_dir
 from tracewell.sources.files import load_sources, tail_lines
 from tracewell.streaming import operators as ST
 from tracewell.streaming.ingest import close_pending, ingest, store_batch
+from tracewell.streaming.tail import follow_log_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -761,3 +762,18 @@ def _(spark, sf):
     close_pending(spark, store, fx.sources(spark, sf), TEMPLATES)
     stored = S.read_table(spark, f"{store}/entries")
     return stored.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")
+
+
+@query("stream_follow_files", f"""with {LINES_SQL} select source_id,
+  cast(sum(strlen(value) + 1) over (partition by source_id order by line_no) - strlen(value) - 1 as bigint) as position, value from lx""")
+def _(spark, sf):
+    lines = fx.lines(spark, sf)
+    folder, out, checkpoint = (shared_dir(spark, name) for name in ("logs", "followed", "stream-checkpoint"))
+    highest = lines.agg(F.max("line_no")).first()[0] or 0
+    for until in (highest // 3, 2 * highest // 3, None):  # the files grow between three runs of one stream
+        fx.write_logs(lines, folder, until)
+        stream = follow_log_files(spark, folder, start="beginning", split_bytes=200_000)
+        (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")).start().awaitTermination())
+    found = spark.read.parquet(out)
+    return found.select(F.regexp_extract("file", r"([^/]+)\.log#", 1).alias("source_id"), F.col("line_no").alias("position"), "value")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.session import configure, spread
+from tracewell.streaming.tail import open_file_system
 
 MESSAGE = """
   case {id} % 4
@@ -154,6 +155,33 @@ lx as (
 """
 
 
+def write_logs(lines: DataFrame, folder: str, until: int | None) -> None:
+    """One log file for each source, with its lines below number ``until`` and the first letters of the next one.
+
+    A later call with a higher number leaves files that begin alike, as if the rest had been appended.
+    """
+    def write(rows) -> None:
+        system, root = open_file_system(folder)
+        name, file, torn = None, None, False
+        for row in rows:
+            if row.source_id != name:
+                if file is not None:
+                    file.close()
+                name, torn = row.source_id, False
+                file = system.open_output_stream(f"{root}/{name}.log")
+            if until is None or row.line_no < until:
+                file.write(f"{row.value}\n".encode())
+            elif not torn:
+                file.write(row.value[:5].encode())
+                torn = True
+        if file is not None:
+            file.close()
+
+    system, root = open_file_system(folder)
+    system.create_dir(root)
+    lines.select("source_id", "line_no", "value").repartition("source_id").sortWithinPartitions("source_id", "line_no").foreachPartition(write)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of :func:`lines`; two of three use the custom line format."""
     return entries(spark, sf_dir).select("source_id").distinct().selectExpr(
