@@ -25,6 +25,7 @@ from tracewell.sinks import export as EX, tables as S
 from tracewell.session import shared_dir
 from tracewell.sources.files import load_sources, tail_lines
 from tracewell.streaming import operators as ST
+from tracewell.streaming.assemble import assemble_stream
 from tracewell.streaming.ingest import close_pending, ingest, store_batch
 from tracewell.streaming.tail import follow_log_files
 
@@ -764,16 +765,34 @@ def _(spark, sf):
     return stored.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")
 
 
-@query("stream_follow_files", f"""with {LINES_SQL} select source_id,
-  cast(sum(strlen(value) + 1) over (partition by source_id order by line_no) - strlen(value) - 1 as bigint) as position, value from lx""")
-def _(spark, sf):
+def followed(spark, sf, transform=lambda lines: lines) -> DataFrame:
+    """What one stream over growing log files gives in three runs, between which the files grow."""
     lines = fx.lines(spark, sf)
     folder, out, checkpoint = (shared_dir(spark, name) for name in ("logs", "followed", "stream-checkpoint"))
     highest = lines.agg(F.max("line_no")).first()[0] or 0
-    for until in (highest // 3, 2 * highest // 3, None):  # the files grow between three runs of one stream
+    for until in (highest // 3, 2 * highest // 3, None):
         fx.write_logs(lines, folder, until)
-        stream = follow_log_files(spark, folder, start="beginning", split_bytes=200_000)
+        stream = transform(follow_log_files(spark, folder, start="beginning", split_bytes=200_000))
         (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
          .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")).start().awaitTermination())
-    found = spark.read.parquet(out)
-    return found.select(F.regexp_extract("file", r"([^/]+)\.log#", 1).alias("source_id"), F.col("line_no").alias("position"), "value")
+    return spark.read.parquet(out).drop("batch").withColumn("source_id", F.regexp_extract("file", r"([^/]+)\.log#", 1)).withColumnRenamed("line_no", "position")
+
+
+PLACED_SQL = f"""{LINES_SQL}, placed as (
+  select * replace (cast(sum(strlen(value) + 1) over (partition by source_id order by line_no) - strlen(value) - 1 as bigint) as line_no) from lx)"""
+
+
+@query("stream_follow_files", f"with {PLACED_SQL} select source_id, line_no as position, value from placed")
+def _(spark, sf):
+    return followed(spark, sf).select("source_id", "position", "value")
+
+
+@query("stream_assemble_files", f"""with {PLACED_SQL},
+  marked as (select *, greatest(1, sum(case when {CONTINUED} then 0 else 1 end) over (partition by source_id order by line_no)) as grp from placed),
+  merged as (select source_id, grp, min(line_no) as position, min_by(value, line_no) as value,
+    string_agg(value, '|' order by line_no) filter ({CONTINUED}) as stacktrace from marked group by source_id, grp)
+  select source_id, position, value, stacktrace from merged qualify grp < max(grp) over (partition by source_id)""")
+def _(spark, sf):
+    # The last entry of each file is still open when the stream stops.
+    merged = followed(spark, sf, lambda lines: assemble_stream(lines, flush_after_ms=None, chunk=1 << 16))
+    return merged.select("source_id", "position", "value", joined("stacktrace"))
