@@ -41,7 +41,7 @@ class ChunkAssembler(StatefulProcessor):
         first = heads[0] if heads else len(numbers)
         if first:
             out.append((source, file, STITCHED, numbers[0], None, values[:first].tolist()))
-        for at, following in zip(heads, [*heads[1:], len(numbers)], strict=True):
+        for at, following in zip(heads, [*heads, len(numbers)][1:], strict=True):
             part = STITCHED if following == len(numbers) else chunk
             # The first head of a file also takes the lines above it.
             part = STITCHED if at == first else part
