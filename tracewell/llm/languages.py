@@ -30,6 +30,8 @@ BINS = sum(1 << s for s in SHIFTS)
 LANDMARKS = 256
 SAMPLE = 500
 RIDGE = 1e-3
+# Parts in which the texts of a language are ranked before they are ranked together.
+PARTS = 64
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 # Texts whose presence is marked at once, and the bytes that are read for them at a time.
@@ -112,9 +114,10 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
     labelled = labelled.select("lang", "text", F.xxhash64("text").alias("mark"))
-    # Ranks are limited in each task before the shuffle.
-    first = W.partitionBy("lang").orderBy("mark")
-    marks = labelled.select("lang", "mark").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
+    # First within parts of a language, so that no task has all texts of a frequent one.
+    marks = labelled.select("lang", F.pmod(F.hash("mark"), F.lit(PARTS)).alias("part"), "mark").distinct()
+    for by in (("lang", "part"), ("lang",)):
+        marks = marks.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("mark"))).where(F.col("rank") <= sample)
     last = cut_lineage(marks.groupBy("lang").agg(F.max("mark").alias("last")))
     return labelled.join(last, "lang").where("mark <= last").dropDuplicates(["lang", "mark"]).select("lang", "mark", "text")
 
