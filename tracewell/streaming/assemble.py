@@ -32,7 +32,7 @@ class ChunkAssembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         pass
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         source, file, chunk = key
         lines = pd.concat(list(rows)).sort_values("line_no", kind="stable")
         numbers, values, continues = (lines[c].to_numpy() for c in ("line_no", "value", "continues"))
@@ -74,7 +74,7 @@ class FileStitcher(StatefulProcessor):
     def _frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["source_id", "file", "line_no", "value", "stacktrace"])
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[2] != STITCHED:
             for frame in rows:
                 traces = [list(t) if len(t) else None for t in frame["trace"]]
@@ -100,7 +100,7 @@ class FileStitcher(StatefulProcessor):
             out.append(self._take(key))
             self.head.clear()
         elif self.flush_after_ms is not None:
-            timer = timer_values.getCurrentProcessingTimeInMs() + self.flush_after_ms
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.flush_after_ms
             self.handle.registerTimer(timer)
             number, value, _ = self.head.get() if opened else (None, None, None)
             self.head.update((number, value, timer))
@@ -110,7 +110,7 @@ class FileStitcher(StatefulProcessor):
         if out:
             yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.head.exists() and self.head.get()[1] is not None:
             yield self._frame([self._take(key)])
         self.trace.clear()
