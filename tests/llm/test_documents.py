@@ -180,12 +180,14 @@ def test_suffix_tree_scores(make_docs):
     assert sum(r.score for r in got if r.held_out) > 0.7 * sum(r.base_score for r in got if r.held_out)
 
 
-def test_token_files_round_trip(spark, odd_docs, tmp_path, monkeypatch):
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files_round_trip(spark, odd_docs, tmp_path, monkeypatch, vocabulary):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_files, "CHUNK", 1000)
-    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "FILE_BYTES", 100_000)
+    path = P.path(vocabulary)
     tokenizer = Tokenizer.from_file(path)
     extra = odd_docs.unionByName(odd_docs.limit(0)).union(spark.createDataFrame(
         [(7, "Don't <|endoftext|> it's ÉTÉ é 100% ’’, 你好!!", "en", "a", 0, "", "")], odd_docs.schema))
@@ -317,13 +319,30 @@ def test_encoder_forgets_rare_runs_without_changing_ids(monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_files, "CACHE", 8)
+    monkeypatch.setattr(token_files, "YOUNG", 4)
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = token_files.Encoder(path, token_files.direct_words(path))
     whole = Tokenizer.from_file(path)
     texts = [f"The river {n} ÉTÉ river, don't x{n} {'abc' * n}. the\tThe" for n in range(40)] + [""]
     for text in texts:
-        ids, sizes = encoder.encode([text.encode(), b"", b"the river"])
+        raw = [t.encode() for t in (text, "", "the river")]
+        ids, sizes = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
         wanted = [whole.encode(t, add_special_tokens=False).ids for t in (text, "", "the river")]
         assert sizes.tolist() == [len(w) for w in wanted]
         assert ids.tolist() == [i for w in wanted for i in w]
-        assert len(encoder.codes) < 30
+        assert len(encoder.old.keys) < 20 and len(encoder.young.keys) < 20 and len(encoder.ids) < 400
+
+
+def test_encoder_agrees_with_the_library_on_letters_marks_and_the_rest():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole, rng = token_files.Encoder(path, token_files.direct_words(path)), Tokenizer.from_file(path), random.Random(9)
+    parts = ["a", "Z", "é", "É", "×", "÷", "ß", "'", "s", "<|endoftext|>", "|", ".", "!", "~", "9", "\u00a0", "\u0301", "\u0130", "漢", " ", "\n", "\x85", "\x1f"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(3)]
+        raw = [t.encode() for t in texts]
+        ids, sizes = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+        wanted = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]

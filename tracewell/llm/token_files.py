@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import itertools
 import operator
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.llm import arrays as A
@@ -30,9 +30,10 @@ from tracewell.session import cut_lineage, shared_dir
 CHUNK = 1 << 16
 END_ID = 1
 FILE_BYTES = 32 << 20
-MOST_FILES = 20_000
-CACHE = 300_000
-# Bytes of text encoded at a time, whose words are Python objects for that long.
+# Pieces that an encoder remembers, about 50 bytes each, and those it adds between two merges of its tables.
+CACHE = 600_000
+YOUNG = 60_000
+# Bytes of text encoded at a time.
 ENCODED_BYTES = 1 << 20
 TOKEN_ID = operator.attrgetter("id")
 
@@ -45,30 +46,74 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Codes(dict):
-    """Numbers of runs in order of their first use; asking for a new one adds it."""
-
-    def __missing__(self, run: bytes) -> int:
-        self[run] = code = len(self)
-        return code
-
-
 def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The stretches of ``values`` that start at ``first`` and have ``count`` values, one after the other."""
     ends = np.cumsum(count)
     return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)]
 
 
-class Encoder:
-    """Ids of texts, each distinct run between white space encoded once.
+LETTER = A.byte_set([(0x41, 0x5A), (0x61, 0x7A)])
+# Second bytes of the letters U+00C0 to U+00FF, without the two signs among them.
+AFTER_LEAD = A.byte_set([(0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF)])
+# Punctuation that no special token and no contraction begins with.
+MARK = A.byte_set([(0x21, 0x26), (0x28, 0x2F), (0x3A, 0x3B), (0x3D, 0x3D), (0x3F, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E)])
 
-    White space ends every piece of the vocabulary's splitting rule, so a text's ids are
-    those of its runs. A run of Latin letters with closing ASCII punctuation splits before
-    the punctuation for the same reason; such letters need neither normalising nor splitting
-    and go to the vocabulary's merges directly. All other runs take the whole way.
+
+def _pieces(text: np.ndarray, words: A.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and kind (is it a word of Latin letters?) of the pieces of runs, and the bounds of texts.
+
+    A run of letters with closing punctuation is two pieces; any other run is one.
     """
+    after = np.zeros(len(text), bool)
+    lead = text == 0xC3
+    after[1:] = lead[:-1]
+    follow = np.zeros(len(text), bool)
+    follow[:-1] = AFTER_LEAD[text[1:]]
+    letter = LETTER[text] | (lead & follow) | (after & AFTER_LEAD[text])
+    letters, marks = (np.r_[0, np.cumsum(m, dtype=np.int32)] for m in (letter, MARK[text]))
+    starts, ends = words.starts, words.ends
+    size = letters[ends] - letters[starts]
+    middle = starts + size
+    plain = (size > 0) & (letters[middle] - letters[starts] == size) & (marks[ends] - marks[middle] == ends - middle)
+    split = plain & (middle < ends)
+    # A split run takes two places.
+    place = np.arange(len(starts)) + np.r_[0, np.cumsum(split)[:-1]] if len(starts) else np.zeros(0, np.int64)
+    total = len(starts) + int(split.sum())
+    first, last, kind = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, bool)
+    first[place], last[place], kind[place] = starts, np.where(split, middle, ends), plain
+    first[place[split] + 1], last[place[split] + 1] = middle[split], ends[split]
+    bounds = np.append(place, total)[words.bounds]
+    return first, last, kind, bounds
+
+
+class _Table:
+    """Known pieces by sorted hash: a second mark of each, where its ids start and how many they are, and its uses."""
+
+    def __init__(self):
+        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.keys, self.marks, self.first, self.count, self.used
+
+    def put(self, *columns: np.ndarray) -> None:
+        joined = [np.concatenate([mine, theirs.astype(mine.dtype)]) for mine, theirs in zip(self.columns(), columns, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        self.keys, self.marks, self.first, self.count, self.used = (c[order] for c in joined)
+
+    def keep(self, chosen: np.ndarray) -> None:
+        self.keys, self.marks, self.first, self.count, self.used = (c[chosen] for c in self.columns())
+
 
-    LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-;=?-@\[-`{}~]*)")
+class Encoder:
+    """Ids of texts, each distinct piece encoded once and remembered while it is in use.
+
+    ``direct`` vocabularies drop white space and split letters from all else, so a text's ids are those
+    of its runs between white space, and a run of Latin letters with closing punctuation is two pieces.
+    Such letters need neither normalising nor splitting and go to the vocabulary's merges directly; all other
+    runs take the whole way. Pieces are told apart by a hash of 64 bits and a second mark. Texts of any
+    other vocabulary are encoded whole.
+    """
 
     def __init__(self, path: str, direct: bool):
         from tokenizers import Tokenizer
@@ -78,88 +123,67 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.direct = direct
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes = _Codes()
-        self.parts: dict[bytes, list[int]] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.first, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _shrink(self) -> None:
-        """Keep the runs that occurred more than once, at most half of ``CACHE`` of them, the most frequent."""
-        often = np.flatnonzero(self.used > 1)
-        if len(often) > CACHE // 2:
-            often = np.sort(often[np.argpartition(-self.used[often], CACHE // 2)[:CACHE // 2]])
-        runs, ids, first, count, used = list(self.codes), self.ids, self.first[often], self.count[often], self.used[often]
-        self._clear()
-        self.codes.update(zip([runs[i] for i in often.tolist()], range(len(often)), strict=True))
-        # Older uses weigh half, so runs of earlier texts give way.
-        self.ids, self.first = _gathered(ids, first, count), np.cumsum(count) - count
-        self.count, self.used = count, used // 2
+        self.old, self.young, self.ids = _Table(), _Table(), np.zeros(0, np.uint32)
 
     def _whole(self, run: bytes) -> list[int]:
         return self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
 
     def _word(self, word: bytes) -> list[int]:
-        found = self.parts.get(word)
-        if found is None:
-            lower = word.lower().decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.letters)
-            found = self.parts[word] = list(map(TOKEN_ID, self.merge(lower)))
-        return found
-
-    def _run(self, run: bytes) -> list[int]:
-        if self.direct and run.isalpha():  # ASCII letters alone
-            return self._word(run)
-        split = self.LETTERS.fullmatch(run) if self.direct else None
-        if split is None:
-            return self._whole(run)
-        word, marks = split.groups()
-        if not marks:
-            return self._word(word)
-        mark = self.parts.get(marks)
-        if mark is None:
-            mark = self.parts[marks] = self._whole(marks)
-        return self._word(word) + mark
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the number of ids of each text."""
-        if len(self.codes) > CACHE:
-            self._shrink()
-        known = len(self.codes)
-        runs = [text.split() for text in texts]
-        flat = list(itertools.chain.from_iterable(runs))
-        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        new = list(itertools.islice(reversed(self.codes), len(self.codes) - known))[::-1]
-        made = [self._run(run) for run in new]
+        lower = word.lower().decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.letters)
+        return list(map(TOKEN_ID, self.merge(lower)))
+
+    def _settle(self) -> None:
+        """Move young pieces to the large table; if that is full, forget all that occurred once and the least used half."""
+        self.old.put(*self.young.columns())
+        self.young = _Table()
+        if len(self.old.keys) <= CACHE:
+            return
+        often = np.flatnonzero(self.old.used > 1)
+        if len(often) > CACHE // 2:
+            often = np.sort(often[np.argpartition(-self.old.used[often], CACHE // 2)[:CACHE // 2]])
+        self.old.keep(often)
+        self.ids = _gathered(self.ids, self.old.first, self.old.count)
+        self.old.first = np.cumsum(self.old.count, dtype=np.int64) - self.old.count
+        # Older uses weigh half, so pieces of earlier texts give way.
+        self.old.used = self.old.used // 2
+
+    def encode(self, text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids of each text of a slice."""
+        if not self.direct:
+            made = [self._whole(text[bounds[i]:bounds[i + 1]].tobytes()) for i in range(len(bounds) - 1)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            return np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
+        if len(self.young.keys) > YOUNG:
+            self._settle()
+        starts, ends, kind, at = _pieces(text, A.words_of(text, bounds, A.BETWEEN_SPACES, lower=False))
+        hashes = A.hash_spans(text, starts, ends)
+        keys, sample, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        low, high = starts[sample], ends[sample]
+        marks = ((high - low).astype(np.uint64) << np.uint64(32)) | (text[low].astype(np.uint64) << np.uint64(16)) | (
+            text[(low + high) // 2].astype(np.uint64) << np.uint64(8)) | text[high - 1]
+        first, count, new = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        known = np.zeros(len(keys), bool)
+        for table in (self.old, self.young):
+            found = A.lookup(table.keys, keys)
+            here = np.flatnonzero(found >= 0)
+            found = found[here]
+            known[here] = True
+            same = table.marks[found] == marks[here]
+            here, found = here[same], found[same]
+            first[here], count[here], new[here] = table.first[found], table.count[found], False
+            table.used[found] += times[here].astype(np.int32)
+        fresh = np.flatnonzero(new)
+        raw = text.tobytes()
+        made = [self._word(raw[i:j]) if word else self._whole(raw[i:j])
+                for i, j, word in zip(low[fresh].tolist(), high[fresh].tolist(), kind[sample[fresh]].tolist(), strict=True)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        self.first = np.r_[self.first, len(self.ids) + np.cumsum(sizes) - sizes]
-        self.count = np.r_[self.count, sizes]
+        first[fresh], count[fresh] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
         self.ids = np.r_[self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(sizes.sum()))]
-        self.used = np.r_[self.used, np.zeros(len(made), np.int64)] + np.bincount(code, minlength=len(self.codes))
-        count = self.count[code]
-        per_text = np.r_[0, np.cumsum(count)][np.cumsum([0, *map(len, runs)])]
-        return _gathered(self.ids, self.first[code], count), np.diff(per_text)
-
-
-def _encode(path: str, end_id: int, dtype: str):
-    """Rows ``doc_id, text_a, text_b, file, n, ids`` from ``doc_id, text_a, text_b, file, text``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("file", pa.int32()), ("ids", pa.binary())])
-
-    def run(batches):
-        encoder = None
-        for batch in batches:
-            for rows, text, bounds in A.text_slices(batch.column(4), ENCODED_BYTES):
-                encoder = encoder or Encoder(path, direct_words(path))
-                ids, sizes = encoder.encode([text[bounds[i]:bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)])
-                # The end id goes behind each text.
-                wide = np.insert(ids, np.cumsum(sizes), end_id).astype(dtype)
-                at = np.r_[0, np.cumsum(sizes + 1)]
-                part = batch.slice(rows.start, rows.stop - rows.start)
-                yield A.table_of(
-                    schema, **{f.name: part.column(i) for i, f in enumerate(schema) if i < 4},
-                    ids=pa.array([wide[at[i]:at[i + 1]].tobytes() for i in range(len(sizes))], pa.binary()))
-    return run
+        # A piece whose hash belongs to another one is not remembered.
+        added = fresh[~known[fresh]]
+        self.young.put(keys[added], marks[added], first[added], count[added], times[added])
+        per_piece = count[inverse]
+        return _gathered(self.ids, first[inverse], per_piece), np.diff(np.r_[0, np.cumsum(per_piece)][at])
 
 
 def direct_words(path: str) -> bool:
@@ -172,6 +196,7 @@ def direct_words(path: str) -> bool:
     split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     rule = split[0].get("pattern", {}).get("Regex", "")
     return (steps == ["NFC", "Replace", "Lowercase"] and rule.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
             and [s["type"] for s in split] == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE")
 
 
@@ -214,69 +239,51 @@ def _chunk_row(file, first, ids):
                       planes=pa.array([pack_planes(ids)], pa.list_(pa.binary())))
 
 
-def _write_chunks(dtype: str):
-    """Chunk and document rows from documents sorted by file and order; one chunk is held at a time."""
+def _write_file(path: str, end_id: int, dtype: str):
+    """Chunk and document rows of one file from its documents in order; one chunk is held at a time."""
     def run(batches):
-        file, first, held, size, total = None, 0, [], 0, 0
+        file = TaskContext.get().partitionId()
+        encoder, first, held, size, total = None, 0, [], 0, 0
         for batch in batches:
-            files, docs, raw = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            starts, counts = A.grouped(files)
-            for at, n in zip(starts.tolist(), counts.tolist(), strict=True):
-                if files[at] != file:
-                    if size:
-                        yield _chunk_row(file, first, np.concatenate(held))
-                    file, first, held, size, total = int(files[at]), 0, [], 0, 0
-                firsts, sizes = [], []
-                for row in range(at, at + n):
-                    ids = np.frombuffer(raw[row].as_buffer(), dtype)
-                    firsts.append(total)
-                    sizes.append(len(ids))
-                    total += len(ids)
-                    while size + len(ids) >= CHUNK:
-                        cut = CHUNK - size
-                        yield _chunk_row(file, first, np.concatenate([*held, ids[:cut]]))
-                        first, held, size, ids = first + CHUNK, [], 0, ids[cut:]
-                    if len(ids):
-                        held.append(ids.copy())
-                        size += len(ids)
-                yield _document_rows(file, firsts, sizes, docs.slice(at, n))
+            for rows, text, bounds in A.text_slices(batch.column(1), ENCODED_BYTES):
+                encoder = encoder or Encoder(path, direct_words(path))
+                ids, sizes = encoder.encode(text, bounds)
+                # The end id goes behind each text.
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(dtype)
+                sizes = sizes + 1
+                yield _document_rows(file, total + np.cumsum(sizes) - sizes, sizes, batch.column(0)[rows])
+                total += len(ids)
+                while size + len(ids) >= CHUNK:
+                    cut = CHUNK - size
+                    yield _chunk_row(file, first, np.concatenate([*held, ids[:cut]]))
+                    first, held, size, ids = first + CHUNK, [], 0, ids[cut:]
+                if len(ids):
+                    held.append(ids.copy())
+                    size += len(ids)
         if size:
             yield _chunk_row(file, first, np.concatenate(held))
     return run
 
 
-def _file_numbers(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Documents with ``file``: ranges of ids of about equal number; ids that fill several ranges are split by text."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = int(min(MOST_FILES, size // FILE_BYTES + 1))
-    edges = docs.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.2 / files) if files > 1 else []
-    if not edges:
-        return docs.withColumn("file", F.lit(0)), files
-    bounds = F.array(*[F.lit(int(e)) for e in edges]) if len(edges) <= 500 else F.from_json(F.lit(str([int(e) for e in edges])), "array<long>")
-    place = docs.withColumn("_edges", bounds)
-    below = F.expr("cast(size(filter(_edges, e -> e < doc_id)) as int)")
-    same = F.expr("cast(size(filter(_edges, e -> e = doc_id)) as int)")
-    part = F.least(same, F.floor((F.col("text_a") / F.lit(2.0**64) + 0.5) * (same + 1)).cast("int"))
-    return place.withColumn("file", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below + part)).drop("_edges"), files
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode every text of ``docs`` and write the sequence to ``path``.
 
     Documents come in ascending ``doc_id`` order, null first, rows with one id in an order
     that follows from their texts. A null or empty text is the end id alone. No documents
-    make an empty table. Only ``doc_id`` and ``text`` are read.
+    make an empty table. Only ``doc_id`` and ``text`` are read; a text of any length is encoded
+    whole, and one task holds one text, one slice of ids and one chunk.
     """
     from tokenizers import Tokenizer
 
     highest = max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id)
     dtype = "<u2" if highest < 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_marks(F.col("text")), "text")
-    dealt, files = _file_numbers(rows)
-    coded = dealt.select("doc_id", "text_a", "text_b", "file", "text").mapInArrow(
-        _encode(tokenizer, end_id, dtype), "doc_id long, text_a long, text_b long, file int, ids binary")
-    ordered = coded.repartition(files, "file").sortWithinPartitions("file", "doc_id", "text_a", "text_b")
-    ordered.select("file", "doc_id", "ids").mapInArrow(_write_chunks(dtype), STORED_TYPES).write.option("compression", "none").parquet(path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Files are ranges of the order, cut by a sample of it; equal rows are told apart so that ranges may part them.
+    order = ["doc_id", "text_a", "text_b", "copy"]
+    dealt = rows.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(int(size // FILE_BYTES + 1), *order)
+    ordered = dealt.sortWithinPartitions(*order).select("doc_id", "text")
+    ordered.mapInArrow(_write_file(tokenizer, end_id, dtype), STORED_TYPES).write.option("compression", "none").parquet(path)
 
 
 def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +317,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     stored = spark.read.parquet(path)
     sizes = stored.where("not is_document").groupBy("file").agg(F.sum("n").alias("n"))
-    # One row for each file, at most MOST_FILES.
+    # One row for each file of about ``FILE_BYTES`` of text.
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     starts = cut_lineage(sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base")))
+    files = (starts.agg(F.max("file")).first()[0] or 0) + 1
     order = ["file", "first", "is_document"]
-    read = stored.repartition("file").sortWithinPartitions(*order).mapInArrow(
+    read = stored.repartitionById(files, F.col("file")).sortWithinPartitions(*order).mapInArrow(
         _read_documents, "doc_id long, file int, first long, n_tokens long, ids_crc32 long")
     return read.join(starts, "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
