@@ -1,5 +1,9 @@
 """The pipeline's stages, rule index and entry guard."""
 
+import os
+import subprocess
+import sys
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -47,3 +51,38 @@ def test_url_rules(spark):
         (11, "ads3.x.com", "/", "-", "block"), (12, "example.net", "/EN/", "net/", "block"),
     ]
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, host string")).count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ["target", "source_size", "copies", "text_a", "text_b", "_id", "_stay", "_text_a", "_text_b", "_lang", "hash", "_hash", "_size", "_row", "one"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = spark.createDataFrame([(10**9, "Ein " * 2_500_000, "de", "src0", 10**7)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.unionByName(long, allowMissingColumns=True).select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).isEmpty()
+        assert not out.isEmpty()
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.checkpoint.dir", {shared!r}).getOrCreate())
+from tracewell.llm import queries
+for name in {names!r}:
+    print(name, queries.QUERIES[name](spark, {sf!r}).count(), flush=True)
+print("all done")
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    names = ["op2_quality_rules", "op5_suffix_tree", "op6_near_duplicates", "op7_decontaminate", "op9_token_files", "op11_languages",
+             "op12_conversation_repair", "op13_spelling_variants"]
+    script = FOREIGN.format(repo=repo, shared=str(tmp_path / "shared"), names=names, sf=SF)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all done" in run.stdout, run.stderr[-3000:]

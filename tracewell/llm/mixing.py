@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tracewell.llm.texts import WORDS, count_matches
+from tracewell.llm.texts import WORDS, count_matches, packed
 from tracewell.session import cut_lineage, drop_stage
 
 LEVEL_BITS = 12
@@ -149,8 +149,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` themselves, each as often as :func:`mix_sources` takes it."""
+    """The rows of ``docs`` themselves, each as often as :func:`mix_sources` takes it.
+
+    Rows without words go, as they add nothing to a source; repeated rows are taken alike. Columns may have any
+    names, texts any length; an empty table stays empty.
+    """
     sizes = cut_lineage(_sizes(_measured(docs, "doc_id", "source")))
-    taken = with_copies(_measured(docs, *docs.columns), mix_plan(sizes, weights, share, most))
+    rows = packed(docs).select(
+        "_row", F.col("_row.source").alias("source"), F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    taken = with_copies(_measured(rows, "_row", "doc_id", "source"), mix_plan(sizes, weights, share, most))
     again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return taken.where("copies > 0").withColumn("_copy", again).select(*docs.columns)
+    return taken.where("copies > 0").withColumn("_copy", again).select("_row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tracewell.llm import arrays as A
 from tracewell.llm.bitmap import may_hold, send_bitmap
 from tracewell.llm.graph import components
-from tracewell.llm.texts import text_marks
+from tracewell.llm.texts import packed, text_marks
 from tracewell.session import cut_lineage, drop_stage
 
 SHINGLE = 5
@@ -369,15 +369,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near duplicates.
 
-    Texts without words are in no group and stay.
+    Null, empty and blank texts are in no group and stay. Of rows with one id and text but other columns
+    that differ, those of smallest row hash stay, so reruns agree. Texts of any length are read
+    whole; columns may have any names; an empty table stays empty.
     """
     key = ["_id", "text_a", "text_b"]
     found = near_duplicates(docs, percent).groupBy(F.xxhash64("doc_id").alias("_id"), "text_a", "text_b").agg(
         F.count_if("one").alias("_stay"), F.count("*").alias("_rows")).where("_stay > 0")
     found = cut_lineage(found)
-    rows = docs.withColumns({"_id": F.xxhash64(F.col("doc_id").cast("long"))} | dict(zip(key[1:], text_marks(F.col("text")), strict=True)))
+    rows = packed(docs).withColumns(
+        {"_id": F.xxhash64(F.col("_row.doc_id").cast("long"))} | dict(zip(key[1:], text_marks(F.col("_row.text")), strict=True)))
     whole = rows.join(found.where("_stay = _rows"), key, "left_semi")
     some = rows.join(found.where("_stay < _rows").drop("_rows"), key)
-    turn = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    turn = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("_row")))
     some = some.withColumn("_turn", turn).where("_turn <= _stay")
-    return whole.select(*docs.columns).unionByName(some.select(*docs.columns))
+    return whole.select("_row").unionByName(some.select("_row")).select("_row.*")

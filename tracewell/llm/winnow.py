@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tracewell.llm import arrays as A
 from tracewell.llm.bitmap import may_hold, send_bitmap
-from tracewell.llm.texts import PLAIN_WORDS, UPPER, text_marks
+from tracewell.llm.texts import PLAIN_WORDS, UPPER, packed, text_marks
 from tracewell.session import cut_lineage
 
 WINDOW = 13
@@ -182,8 +182,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    marks = dict(zip(("_text_a", "_text_b"), text_marks(F.col("text")), strict=True))
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names.
+
+    Rows without text or words stay; repeated rows stay or go together; texts of any length are read
+    whole. Empty tables of documents or items are fine.
+    """
+    marks = dict(zip(("_text_a", "_text_b"), text_marks(F.col("_row.text")), strict=True))
     bad = contamination(docs, items).where("contaminated").select(
         F.col("text_a").alias("_text_a"), F.col("text_b").alias("_text_b")).distinct()
-    return docs.withColumns(marks).join(cut_lineage(bad), list(marks), "left_anti").select(*docs.columns)
+    return packed(docs).withColumns(marks).join(cut_lineage(bad), list(marks), "left_anti").select("_row.*")
