@@ -109,7 +109,12 @@ def normalize_lines(lines: DataFrame, sources: DataFrame | None = None, template
             df = df.withColumn(name, F.lit(None).cast(kind))
     if "seq" not in df.columns:
         df = df.withColumn("seq", F.col("line_no"))
-    df = parse_lines(df, templates, line, **options)
+    return canonical_entries(parse_lines(df, templates, line, **options), line)
+
+
+def canonical_entries(df: DataFrame, line: str) -> DataFrame:
+    """Entries of parsed lines: ``source_id, source_label, file, line_no, seq, ingested_at, stacktrace, detected_format``,
+    the line itself and the struct ``parsed`` of the line parsers."""
     p = F.col("parsed")
     df = df.select(
         entry_id("source_id", "file", "line_no").alias("id"),

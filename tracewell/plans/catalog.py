@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -16,6 +17,7 @@ from tracewell.operators.normalize import normalize_lines
 from tracewell.operators.parsers import (
     LineTemplate, compile_templates, only_parsed, parse_container_envelope, parse_custom, parse_json, parse_kv, parse_plaintext,
 )
+from tracewell.operators.plugins import ParserPlugin, PluginRegistry, normalize_with_plugins
 from tracewell.operators.spikes import detect_spikes, error_rate, sample_ticks
 from tracewell.plans import fixtures as fx
 from tracewell.plans.fixtures import (
@@ -579,6 +581,47 @@ def _(spark, sf):
     return normalized(spark, sf).select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")
 
 
+class BlockParser(ParserPlugin):
+    """Lines of any kind with the indented lines and causes below them as one entry."""
+
+    id = "blocks"
+    begins = r"^(?!\t|Caused by:)"
+
+    def __init__(self):
+        self.lines, self.line_no = [], None
+
+    @classmethod
+    def can_handle(cls, source):
+        return source["label"] == "App src-1"
+
+    def push_line(self, line, line_no):
+        done = None if line.startswith(("\t", "Caused by:")) else self.flush()
+        if not self.lines:
+            self.line_no = line_no
+        self.lines.append(line)
+        return done
+
+    def flush(self):
+        if not self.lines:
+            return None
+        head, *trace = self.lines
+        found = re.match(r"(\S+) ([A-Z]+) \[", head)
+        time, level = found.groups() if found else (None, None)
+        entry = {"line_no": self.line_no, "timestamp": time, "level": level, "message": head, "raw": "\n".join(self.lines), "stacktrace": trace}
+        self.lines = []
+        return entry
+
+
+@query("parser_plugin", f"""with {MERGED_SQL}, blocks as (
+  select *, regexp_extract(value, '^(\\S+) ([A-Z]+) \\[', 2) as word, regexp_extract(value, '^(\\S+) ([A-Z]+) \\[', 1) as iso from merged where source_id = 'src-1')
+  select source_id, line_no as seq, coalesce(try_strptime(iso, '%Y-%m-%dT%H:%M:%S.%fZ'), ingested_at) as "timestamp",
+    case when word = '' then 'unknown' else lower(word) end as level, value as message, stacktrace,
+    concat_ws(chr(10), value, replace(stacktrace, '|', chr(10))) as raw from blocks""")
+def _(spark, sf):
+    found = normalize_with_plugins(fx.lines(spark, sf), fx.sources(spark, sf), PluginRegistry(BlockParser), TEMPLATES, chunk_lines=2000)
+    return found.where("detected_format = 'plugin'").select("source_id", "seq", "timestamp", "level", "message", joined("stacktrace"), "raw")
+
+
 @query("load_sources", f"with {ENTRIES_SQL} select distinct source_id, concat('App ', source_id) as label from fx where source_id <> 'src-1'")
 def _(spark, sf):
     return load_sources(fx.sources(spark, sf)).select("source_id", "label")
