@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from tracewell.functions import formats, levels, text
 from tracewell.functions.times import rfc3339
-from tracewell.operators import clusters as C, explain as X, queries as Q, timeline as T
+from tracewell.operators import clusters as C, explain as X, queries as Q, search_index as I, timeline as T
 from tracewell.operators.assemble import merge_stacktraces
 from tracewell.operators.correlation import service_correlation
 from tracewell.operators.fuzzy import cluster_fuzzy
@@ -28,7 +28,7 @@ from tracewell.session import shared_dir
 from tracewell.sources.files import load_sources, tail_lines
 from tracewell.streaming import operators as ST
 from tracewell.streaming.assemble import assemble_stream
-from tracewell.streaming.ingest import close_pending, ingest, store_batch
+from tracewell.streaming.ingest import close_pending, ingest, read_feed, store_batch
 from tracewell.streaming.tail import follow_log_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,34 @@ def _(spark, sf):
         Q.search_token_index(index, e, "Été").select(*FOUND)).distinct()
 
 
+def document_index(spark, sf) -> DataFrame:
+    """An index of the document lines, made by two batches of which the second is repeated."""
+    e, path = fx.document_entries(spark, sf), shared_dir(spark, "index")
+    for batch in (0, 1, 1):
+        I.add_to_index(e.where(F.col("seq") % 2 == batch), path, batch, ("message",))
+    return I.read_index(spark, path)
+
+
+@query("index_phrase", SQL["search_phrase"])
+def _(spark, sf):
+    return I.search_index(document_index(spark, sf), fx.document_entries(spark, sf), phrase="of, THE").select(*FOUND)
+
+
+@query("index_prefix", SQL["search_prefix"])
+def _(spark, sf):
+    return I.search_index(document_index(spark, sf), fx.document_entries(spark, sf), prefix="Éni").select(*FOUND)
+
+
+@query("index_any_none", SQL["search_any_none"])
+def _(spark, sf):
+    return I.search_index(document_index(spark, sf), fx.document_entries(spark, sf), any_of="les sch", none_of="la").select(*FOUND)
+
+
+@query("index_ranked", SQL["search_ranked"])
+def _(spark, sf):
+    return I.index_matches(document_index(spark, sf), "the").withColumnRenamed("occurrences", "term_frequency")
+
+
 @query("highlight_matches", f"""with {ENTRIES_SQL} select id,
   regexp_replace(message, '\\b([Ff]ailed|[Rr]etries)\\b', '<mark>\\1</mark>', 'g') as highlighted from fx""")
 def _(spark, sf):
@@ -808,6 +836,17 @@ def _(spark, sf):
     return stored.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")
 
 
+@query("stream_live_entries", SQL["normalize_lines"])
+def _(spark, sf):
+    store = shared_dir(spark, "store")
+    lines = fx.as_lines(event_stream(spark, sf)).withColumn("source_label", F.col("source_id"))
+    ingest(lines, store, shared_dir(spark, "stream-checkpoint"), fx.sources(spark, sf), TEMPLATES, feed=True,
+           trigger={"availableNow": True}).awaitTermination()
+    close_pending(spark, store, fx.sources(spark, sf), TEMPLATES, feed=True)
+    fed = read_feed(spark, store)
+    return fed.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")
+
+
 def followed(spark, sf, transform=lambda lines: lines) -> DataFrame:
     """What one stream over growing log files gives in three runs, between which the files grow."""
     lines = fx.lines(spark, sf)

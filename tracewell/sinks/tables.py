@@ -21,6 +21,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Has a write to this folder ended?"""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def write_once(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write a folder unless that has been done; what a broken attempt left is replaced."""
+    if not is_complete(df.sparkSession, path):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
 def new_entries(entries: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Entries whose id is not stored yet, each id once. Only the id column of the store is read."""
     fresh = entries.dropDuplicates(["id"])

@@ -16,9 +16,10 @@ from tracewell.operators.assemble import merge_stacktraces
 from tracewell.operators.clusters import SAMPLES, cluster_summary, top_errors, with_fingerprint
 from tracewell.operators.fuzzy import BEFORE_ALL, cluster_templates, distinct_templates
 from tracewell.operators.normalize import normalize_lines
+from tracewell.operators.search_index import add_to_index
 from tracewell.schema import CLUSTERS, LINES
 from tracewell.session import cut_lineage
-from tracewell.sinks.tables import append_entries, new_entries, read_snapshot, read_table, snapshot_version, write_snapshot
+from tracewell.sinks.tables import append_entries, new_entries, read_snapshot, read_table, snapshot_version, write_once, write_snapshot
 
 
 def combine_clusters(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -67,18 +68,38 @@ def assemble_batch(lines: DataFrame, pending: DataFrame | None, whole_files: boo
     return complete, still_open
 
 
-def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Add new entries to ``store/entries`` and their summary to ``store/clusters``.
+def store_batch(batch: DataFrame, batch_id: int, store: str, feed: bool = False, index_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Add new entries to ``store/entries`` and their summary to ``store/clusters``; the new entries.
 
     Clusters are written first and only once per batch: a repeated batch finds its
-    version in place, and entries already stored are skipped.
+    version in place, and entries already stored are skipped. With ``feed`` the new entries are also a
+    folder of ``store/feed``, with ``index_columns`` their words one of ``store/index``: both
+    are written once for each batch, before its entries are stored, so a repeated batch neither loses nor doubles any.
     """
     spark = batch.sparkSession
     path, version = f"{store}/clusters", batch_id + 1
     entries = cut_lineage(new_entries(batch, read_table(spark, f"{store}/entries")))
     if snapshot_version(spark, path) < version:
         write_snapshot(combine_clusters(read_snapshot(spark, path), cluster_summary(entries)), path, version)
+    if feed:
+        write_once(entries, f"{store}/feed/batch={batch_id}")
+        entries = spark.read.schema(entries.schema).parquet(f"{store}/feed/batch={batch_id}")
+    if index_columns:
+        add_to_index(entries, f"{store}/index", batch_id, index_columns)
     append_entries(entries, f"{store}/entries")
+    return entries
+
+
+def read_feed(spark: SparkSession, store: str, after: int | None = None) -> DataFrame:
+    """The live feed: the entries of each batch with its number, optionally of the batches after one."""
+    found = spark.read.parquet(f"{store}/feed")
+    return found if after is None else found.where(F.col("batch") > after)
+
+
+def stream_feed(spark: SparkSession, store: str) -> DataFrame:
+    """The live feed as a stream, each entry once."""
+    schema = spark.read.parquet(f"{store}/feed").schema
+    return spark.readStream.schema(schema).parquet(f"{store}/feed")
 
 
 def _enriched(complete: DataFrame, batch_id: int, store: str, sources, templates, fuzzy: bool, options: dict) -> DataFrame:
@@ -109,7 +130,8 @@ def _with_kept_clusters(entries: DataFrame, batch_id: int, store: str) -> DataFr
     return entries.drop("cluster_id", "template").join(members, "fingerprint")
 
 
-def close_pending(spark: SparkSession, store: str, sources: DataFrame | None = None, templates=(), fuzzy: bool = False, **options) -> None:
+def close_pending(spark: SparkSession, store: str, sources: DataFrame | None = None, templates=(), fuzzy: bool = False,
+                  feed: bool = False, index_columns: tuple[str, ...] = (), **options) -> None:
     """Store the entries that are still open, after a stream has stopped for good.
 
     It counts as one more batch and leaves nothing open, so calling it again does nothing. A stream
@@ -120,13 +142,14 @@ def close_pending(spark: SparkSession, store: str, sources: DataFrame | None = N
     if pending is None or pending.isEmpty():
         return
     complete = merge_stacktraces(cut_lineage(pending))
-    store_batch(_enriched(complete, version, store, sources, templates, fuzzy, options), version, store)
+    store_batch(_enriched(complete, version, store, sources, templates, fuzzy, options), version, store, feed, index_columns)
     write_snapshot(pending.limit(0), f"{store}/pending", version + 1)
 
 
 def ingest(
     lines: DataFrame, store: str, checkpoint: str, sources: DataFrame | None = None, templates=(), fuzzy: bool = False,
-    whole_files: bool = False, on_batch: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, **options,
+    whole_files: bool = False, on_batch: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None,
+    feed: bool = False, on_entries: Callable[[DataFrame, int], None] | None = None, index_columns: tuple[str, ...] = (), **options,
 ) -> StreamingQuery:
     """Start a query that turns a stream of lines into stored entries and clusters.
 
@@ -135,14 +158,18 @@ def ingest(
     file, or for :func:`close_pending` when the stream has stopped for good.
     ``fuzzy`` lets new templates join the most similar existing cluster.
     ``on_batch(top, batch_id)`` receives the five largest error clusters after each
-    batch. ``trigger`` are arguments of ``DataStreamWriter.trigger``.
+    batch, ``on_entries(entries, batch_id)`` its new entries, newest first. With ``feed`` these are also kept by batch
+    (:func:`read_feed`, :func:`stream_feed`); ``index_columns`` are those whose words are added to the full-text index
+    of the store. ``trigger`` are arguments of ``DataStreamWriter.trigger``.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         pending = read_snapshot(spark, f"{store}/pending", batch_id)
         complete, still_open = assemble_batch(batch, pending, whole_files)
         write_snapshot(still_open, f"{store}/pending", batch_id + 1)
-        store_batch(_enriched(complete, batch_id, store, sources, templates, fuzzy, options), batch_id, store)
+        entries = store_batch(_enriched(complete, batch_id, store, sources, templates, fuzzy, options), batch_id, store, feed or on_entries is not None, index_columns)
+        if on_entries is not None:
+            on_entries(entries.orderBy(F.col("timestamp").desc(), "id"), batch_id)
         if on_batch is not None:
             on_batch(top_errors(read_snapshot(spark, f"{store}/clusters"), 5), batch_id)
 
