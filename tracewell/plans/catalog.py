@@ -12,7 +12,7 @@ from tracewell.functions.times import rfc3339
 from tracewell.operators import clusters as C, explain as X, queries as Q, search_index as I, timeline as T
 from tracewell.operators.assemble import merge_stacktraces
 from tracewell.operators.correlation import service_correlation
-from tracewell.operators.fuzzy import cluster_fuzzy
+from tracewell.operators.fuzzy import cluster_fuzzy, distinct_templates, similar_pairs
 from tracewell.operators.normalize import normalize_lines
 from tracewell.operators.parsers import (
     LineTemplate, compile_templates, only_parsed, parse_container_envelope, parse_custom, parse_json, parse_kv, parse_plaintext,
@@ -21,14 +21,16 @@ from tracewell.operators.plugins import ParserPlugin, PluginRegistry, normalize_
 from tracewell.operators.spikes import detect_spikes, error_rate, sample_ticks
 from tracewell.plans import fixtures as fx
 from tracewell.plans.fixtures import (
-    BURST_SQL, CLUSTERED_SQL, DOCUMENTS_SQL, ENTRIES_SQL, LINES_SQL, REPLIES_SQL, fingerprint_sql, template_sql,
+    BURST_SQL, CLUSTERED_SQL, DOCUMENTS_SQL, ENTRIES_SQL, FILES_SQL, LINES_SQL, PAGES_SQL, REPLIES_SQL, fingerprint_sql, template_sql,
 )
 from tracewell.sinks import export as EX, tables as S
 from tracewell.session import shared_dir
+from tracewell.sources import files as R
 from tracewell.sources.files import load_sources, tail_lines
 from tracewell.streaming import operators as ST
 from tracewell.streaming.assemble import assemble_stream
 from tracewell.streaming.ingest import close_pending, ingest, read_feed, store_batch
+from tracewell.streaming.sources import stream_log_files
 from tracewell.streaming.tail import follow_log_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,6 +374,30 @@ def _(spark, sf):
     return S.merge_clusters(stored, C.cluster_summary(e)).select(*SUMMARY[:6])
 
 
+@query("similar_pairs", f"""with {PAGES_SQL} select a.template as later, b.template as earlier, round(score, 9) as score
+  from similar_to join pt a on a.i = later join pt b on b.i = earlier""")
+def _(spark, sf):
+    templates = distinct_templates(C.with_fingerprint(fx.page_entries(spark, sf))).select(
+        F.col("seq").alias("tid"), "seq", "template", F.char_length("template").alias("len"))
+    named = lambda side: templates.select(F.col("tid").alias(side), F.col("template").alias(f"{side}_template"))
+    found = similar_pairs(templates, templates).join(named("later"), "later").join(named("earlier"), "earlier")
+    return found.select(F.col("later_template").alias("later"), F.col("earlier_template").alias("earlier"), F.round("score", 9).alias("score"))
+
+
+@query("cluster_fuzzy_pages", f"""with recursive {PAGES_SQL},
+  lead(i, leaders) as (select 0::bigint, []::bigint[] union all
+    select lead.i + 1, case when exists (select 1 from similar_to s where s.later = lead.i + 1 and list_contains(leaders, s.earlier)) then leaders else leaders || [lead.i + 1] end
+    from lead where lead.i < (select max(i) from pt)),
+  chosen as (select unnest(leaders) as i from (select leaders from lead order by i desc limit 1)),
+  best as (select later, arg_max(earlier, [score, -earlier]) as leader from similar_to where earlier in (from chosen) and later not in (from chosen) group by later),
+  members as (select i, i as leader from chosen union all select later, leader from best)
+  select l.fingerprint as cluster_id, l.template, count(*) as entries, count(distinct t.fingerprint) as templates
+  from members m join pt t on t.i = m.i join pt l on l.i = m.leader join pf on pf.fingerprint = t.fingerprint group by all""")
+def _(spark, sf):
+    e = cluster_fuzzy(fx.page_entries(spark, sf))
+    return e.groupBy("cluster_id", "template").agg(F.count("*").alias("entries"), F.count_distinct("fingerprint").alias("templates"))
+
+
 @query("cluster_fuzzy")
 def _(spark, sf):
     e = cluster_fuzzy(fx.document_entries(spark, sf))
@@ -650,6 +676,61 @@ def _(spark, sf):
     return found.where("detected_format = 'plugin'").select("source_id", "seq", "timestamp", "level", "message", joined("stacktrace"), "raw")
 
 
+def from_file(column: str = "file") -> Column:
+    return F.regexp_extract(column, r"([^/]+)\.log$", 1)
+
+
+@query("read_log_files", f"with {FILES_SQL} select name, name || '.log' as source_label, line_no, value from fl")
+def _(spark, sf):
+    folder = fx.write_log_folder(spark, sf)
+    lines = R.read_log_files(spark, [f"{folder}/src-{i}.log" for i in range(3)])
+    return lines.select(from_file("source_id").alias("name"), "source_label", "line_no", "value")
+
+
+@query("read_log_dir", f"with {FILES_SQL} select 'app/' || name as name, 'App (' || name || '.log)' as source_label, line_no, value from fl where name <> 'src-1'")
+def _(spark, sf):
+    lines = R.read_log_dir(spark, fx.write_log_folder(spark, sf), "app", "App", pattern="src-[02].log")
+    return lines.select(F.regexp_replace("source_id", r"/.*/(.+)\.log$", "/$1").alias("name"), "source_label", "line_no", "value")
+
+
+@query("read_container_logs", f"""with {FILES_SQL} select 'box' as source_id, line_no, rtrim(value) as value from fl
+  where name = 'src-2' and rtrim(value) <> '' order by line_no desc limit 50""")
+def _(spark, sf):
+    return R.read_container_logs(spark, f"{fx.write_log_folder(spark, sf)}/src-2.log", "box", tail=50).select("source_id", "line_no", "value")
+
+
+@query("read_container_service", f"""with {FILES_SQL} select 'svc' as source_id, 'Service' as source_label, name, line_no, rtrim(value) as value from fl
+  where name in ('src-0', 'src-1') and rtrim(value) <> ''""")
+def _(spark, sf):
+    folder = fx.write_log_folder(spark, sf)
+    containers = fx.sources(spark, sf).select(
+        F.when(F.col("source_id") == "src-2", "other").otherwise("web").alias("service_name"), F.concat(F.lit(folder + "/"), "source_id", F.lit(".log")).alias("path"))
+    return R.read_container_service(spark, containers, "web", "svc", "Service").select("source_id", "source_label", from_file().alias("name"), "line_no", "value")
+
+
+@query("read_system_export", f"with {FILES_SQL} select 'journal' as source_id, line_no, value from fl where name = 'src-1' and trim(value) <> ''")
+def _(spark, sf):
+    return R.read_system_export(spark, f"{fx.write_log_folder(spark, sf)}/src-1.log", "journal", "Journal").select("source_id", "line_no", "value")
+
+
+@query("read_sources", f"""with {FILES_SQL}
+  select 'one' as source_id, 'One' as source_label, line_no, value from fl where name = 'src-0'
+  union all select 'box', 'Box', line_no, rtrim(value) from fl where name = 'src-1' and rtrim(value) <> ''
+  union all select 'journal', 'Journal', line_no, value from fl where name = 'src-2' and trim(value) <> ''""")
+def _(spark, sf):
+    folder = fx.write_log_folder(spark, sf)
+    rows = [("one", "One", ("file", f"{folder}/src-0.log", None, None), True), ("box", "Box", ("docker_container", f"{folder}/src-1.log", None, None), True),
+            ("journal", "Journal", ("journald", f"{folder}/src-2.log", None, None), True), ("off", "Off", ("file", f"{folder}/none.log", None, None), False)]
+    table = spark.createDataFrame(rows, "source_id string, label string, kind struct<type:string,path:string,pattern:string,name:string>, enabled boolean")
+    return R.read_sources(spark, table).select("source_id", "source_label", "line_no", "value")
+
+
+@query("stream_log_files", f"with {FILES_SQL} select name, line_no, value from fl where trim(value) <> ''")
+def _(spark, sf):
+    stream = stream_log_files(spark, fx.write_log_folder(spark, sf), blank_policy="blank", max_files=1)
+    return collected(stream, "rolled").select(from_file().alias("name"), "line_no", "value")
+
+
 @query("load_sources", f"with {ENTRIES_SQL} select distinct source_id, concat('App ', source_id) as label from fx where source_id <> 'src-1'")
 def _(spark, sf):
     return load_sources(fx.sources(spark, sf)).select("source_id", "label")

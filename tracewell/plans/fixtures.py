@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.session import configure, spread
+from tracewell.session import configure, shared_dir, spread
 from tracewell.streaming.tail import open_file_system
 
 MESSAGE = """
@@ -182,6 +182,33 @@ def write_logs(lines: DataFrame, folder: str, until: int | None) -> None:
     lines.select("source_id", "line_no", "value").repartition("source_id").sortWithinPartitions("source_id", "line_no").foreachPartition(write)
 
 
+def write_log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as files of a fresh folder, some with blanks at the end, some blank; the folder."""
+    folder = shared_dir(spark, "logs")
+    value = F.when(F.col("line_no") % 110 == 0, "  ").when(F.col("line_no") % 70 == 0, F.concat("value", F.lit("  "))).otherwise(F.col("value"))
+    write_logs(lines(spark, sf_dir).withColumn("value", value), folder, None)
+    return folder
+
+
+# The same lines with the numbers that a reader of the files gives them.
+FILES_SQL = f"""{LINES_SQL},
+fl as (select source_id as name, row_number() over (partition by source_id order by line_no) - 1 as line_no,
+  case when line_no % 110 = 0 then '  ' when line_no % 70 = 0 then value || '  ' else value end as value from lx)"""
+
+
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address of every page as an entry."""
+    return table(spark, sf_dir, "pages").selectExpr("concat('p', page_id) as id", "page_id as seq", "coalesce(url, '') as message")
+
+
+PAGES_SQL = f"""px as (select page_id as seq, {template_sql("coalesce(url, '')")} as template from pages),
+pf as (select *, {fingerprint_sql("template")} as fingerprint from px),
+pt as (select fingerprint, min(template) as template, min(seq) as seq, row_number() over (order by min(seq)) as i from pf group by fingerprint),
+near as (select a.i as later, b.i as earlier, 1.0::double - levenshtein(a.template, b.template) / greatest(length(a.template), length(b.template))::double as score
+  from pt a join pt b on b.i < a.i and least(length(a.template), length(b.template)) >= 0.85 * greatest(length(a.template), length(b.template)) - 1e-9),
+similar_to as (select * from near where score >= 0.85::double)"""
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of :func:`lines`; two of three use the custom line format."""
     return entries(spark, sf_dir).select("source_id").distinct().selectExpr(
