@@ -82,6 +82,12 @@ def _(spark, sf):
                             source_ids=("src-0",), pattern="lock|retries").select(*ENTRY)
 
 
+@query("filter_stacktrace_false", f"with {ENTRIES_SQL} select {ENTRY_SQL} from fx where level = 'warn'")
+def _(spark, sf):
+    # Only a true value restricts.
+    return Q.filter_entries(fx.entries(spark, sf), levels=("warn",), has_stacktrace=False).select(*ENTRY)
+
+
 @query("filter_has_stacktrace", f"with {ENTRIES_SQL} select {ENTRY_SQL} from fx where stacktrace is not null")
 def _(spark, sf):
     return Q.filter_entries(fx.entries(spark, sf), has_stacktrace=True).select(*ENTRY)
@@ -731,6 +737,14 @@ def _(spark, sf):
     return collected(stream, "rolled").select(from_file().alias("name"), "line_no", "value")
 
 
+@query("parse_custom_time", f"""with {ENTRIES_SQL} select seq, date_trunc('second', "timestamp") as "timestamp", message from fx""")
+def _(spark, sf):
+    template = LineTemplate("slashed", "Slashed", r"^(?P<timestamp>\S+ \S+) (?P<message>.*)$", "%Y/%m/%d %H:%M:%S")
+    lines = fx.entries(spark, sf).select("seq", F.concat_ws(" ", F.date_format("timestamp", "yyyy/MM/dd HH:mm:ss"), "message").alias("value"))
+    found = parse_custom(lines, compile_templates([template])["slashed"])
+    return found.select("seq", "parsed.timestamp", "parsed.message")
+
+
 @query("load_sources", f"with {ENTRIES_SQL} select distinct source_id, concat('App ', source_id) as label from fx where source_id <> 'src-1'")
 def _(spark, sf):
     return load_sources(fx.sources(spark, sf)).select("source_id", "label")
@@ -755,6 +769,15 @@ def _(spark, sf):
     return S.count_entries(kept).withColumn("what", F.lit("kept")).unionByName(S.count_entries(removed).withColumn("what", F.lit("removed")))
 
 
+@query("purge_stored", f"""with {ENTRIES_SQL} select {ENTRY_SQL}, (select count(*) from fx where "timestamp" < timestamp '{FROM}') as removed
+  from fx where "timestamp" >= timestamp '{FROM}'""")
+def _(spark, sf):
+    path = shared_dir(spark, "entries")
+    S.append_entries(fx.entries(spark, sf), path)
+    removed = S.purge_before(spark, path, FROM)
+    return S.read_table(spark, path).select(*ENTRY, F.lit(removed).cast("long").alias("removed"))
+
+
 @query("count_entries", "select count(*) as entries from events")
 def _(spark, sf):
     return S.count_entries(fx.entries(spark, sf))
@@ -878,6 +901,13 @@ def _(spark, sf):
     return collected(ST.timeline_stream(event_stream(spark, sf)), "timeline", "complete")
 
 
+@query("stream_timeline_append", f"""with {ENTRIES_SQL}, counted as (select {BUCKET} as bucket, level, count(*) as count from fx group by all)
+  select * from counted where bucket + interval 5 minute <= (select max("timestamp") from fx) - interval 10 minute""")
+def _(spark, sf):
+    # A bucket comes out once the watermark has passed its end.
+    return collected(ST.timeline_stream(event_stream(spark, sf)), "timeline")
+
+
 @query("stream_merge_stacktraces", f"""with {MERGED_SQL} select source_id, line_no, value, stacktrace from merged""")
 def _(spark, sf):
     merged = collected(ST.merge_stacktraces_stream(fx.as_lines(event_stream(spark, sf)), flush_after_ms=None, whole_files=True), "lines")
