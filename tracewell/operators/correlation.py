@@ -71,8 +71,8 @@ def service_correlation(entries: DataFrame, window_secs: int, errors_only: bool
         .where(score > min_score)
         .select(
             "service_a", "service_b", score.cast("float").alias("correlation_score"),
-            F.concat(F.col("service_a"), F.lit(" and "), F.col("service_b"),
-                     F.lit(f" show correlated errors within {window_secs}s windows")).alias("description"),
+            F.concat(F.lit("Errors of "), F.col("service_a"), F.lit(" and "), F.col("service_b"),
+                     F.lit(f" lie {window_secs} seconds or less apart")).alias("description"),
         )
         .orderBy(F.col("correlation_score").desc(), "service_a", "service_b")
     )

@@ -514,6 +514,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- lines
 
+# The same shapes of lines as in the functions, in the dialect of the SQL side.
 CONTINUED = r"""regexp_matches(value, '^\s\s|^\tat\s|^at\s+\S+\s*\(|^\s*File\s+"|^\s*Caused\s+by:|^\s*\d+:\s+0x[0-9a-f]+\s+-\s+|^\s+\d+\)\s+0x|^\s+\.\.\.\s+\d+\s+more|^note:|^caused\s+by:')"""
 
 
@@ -796,6 +797,28 @@ def _(spark, sf):
     return EX.export_json_rows(chosen)
 
 
+@query("export_all_json", f"""with {ENTRIES_SQL}, rows as (select "timestamp" as t, id, concat('{{"id":"', id, '","timestamp":"', iso, '","level":"', level,
+    '","service":"', service, '","message":"', message, '"}}') as line, row_number() over (order by "timestamp" desc, id) as n from fx),
+  whole as (select 0 as line_no, concat('{{"exported_at":"2024-02-01T00:00:00Z","entry_count":', count(*), ',"ai_summary":null,"entries":[') as line from rows
+    union all select n, case when n > 1 then ',' else '' end || line from rows union all select count(*) + 1, ']}}' from rows)
+  select cast(line_no as bigint) as line_no, line from whole""")
+def _(spark, sf):
+    path = shared_dir(spark, "export") + ".json"
+    EX.export_all(fx.entries(spark, sf).select("id", "timestamp", "level", "service", "message"), path, "2024-02-01T00:00:00Z")
+    return EX.read_lines(spark, path)
+
+
+@query("export_all_markdown", f"""with {ENTRIES_SQL}, rows as (select concat('| ', strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ' | ', upper(substr(level, 1, 1)), substr(level, 2), ' | ',
+    service, ' | ', replace(substr(message, 1, 120), '|', '\\|'), ' |') as line, row_number() over (order by "timestamp" desc, id) as n from fx where level = 'error'),
+  heads as (select unnest(['# Log Export', '', '**Exported:** 2024-02-01T00:00:00Z  ', '**Entries:** ' || (select count(*) from rows), '', '## Log Entries', '',
+    '| Timestamp | Level | Service | Message |', '|-----------|-------|---------|--------|']) as line, unnest(range(9)) as n)
+  select n as line_no, line from heads union all select n + 8, line from rows""")
+def _(spark, sf):
+    path = shared_dir(spark, "export") + ".md"
+    EX.export_all(fx.entries(spark, sf), path, "2024-02-01T00:00:00Z", levels=("error",))
+    return EX.read_lines(spark, path)
+
+
 @query("export_documents", f"""with {ENTRIES_SQL} select 'markdown' as kind, least(count(*), 5000) as entries from fx union all select 'json', least(count(*), 5000) from fx""")
 def _(spark, sf):
     chosen = EX.export_selection(fx.entries(spark, sf)).select("id", "timestamp", "level", "service", "message")

@@ -36,7 +36,7 @@ def accept_lines(lines: DataFrame, blank_policy: str = "empty") -> DataFrame:
     return lines.where(F.col("value") != "")
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
+def numbered_lines(raw: DataFrame) -> DataFrame:
     """Add ``line_no``: lines of earlier splits of the file plus the position in the split.
 
     Rows of one split have consecutive ids, so two counts per split are enough.
@@ -75,7 +75,7 @@ def read_log_files(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("_changed"),
     )
-    lines = _numbered(raw).withColumn("value", F.regexp_replace("value", r"\r+$", ""))
+    lines = numbered_lines(raw).withColumn("value", F.regexp_replace("value", r"\r+$", ""))
     arrived = F.col("_changed") if ingested_at is None else F.lit(ingested_at).cast("timestamp_ntz")
     lines = lines.select(
         (F.col("file") if source_id is None else F.lit(source_id)).alias("source_id"),
