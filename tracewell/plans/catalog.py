@@ -842,6 +842,12 @@ def _(spark, sf):
     return X.explain_prompts(Q.errors_to_explain(fx.entries(spark, sf)))
 
 
+@query("ask_model", f"select entry_id, concat(length(prompt), ':', upper(substr(prompt, 1, 30))) as reply from ({SQL['explain_prompts']})")
+def _(spark, sf):
+    prompts = X.explain_prompts(Q.errors_to_explain(fx.entries(spark, sf)))
+    return X.ask_model(prompts, lambda texts: [f"{len(t)}:{t[:30].upper()}" for t in texts]).select("entry_id", "reply")
+
+
 @query("summary_prompts", f"""with {ENTRIES_SQL}, blocked as (select *, source_id as block from fx), levels as (select block, level, count(*) as n from blocked group by all),
   newest as (select *, row_number() over (partition by block order by "timestamp" desc, id) as rank from blocked qualify rank <= 20)
   select block, concat_ws(chr(10), 'Summarise this block of log entries for the team that runs the system.',
@@ -970,6 +976,16 @@ def _(spark, sf):
     return stored.select("source_id", "seq", "timestamp", "level", "service", "message", joined("stacktrace"), "raw", "format", "fingerprint")
 
 
+@query("stream_top_clusters", f"""select fingerprint as cluster_id, count(*) as count from ({SQL['normalize_lines']}) group by fingerprint
+  having max(case level when 'error' then 4 when 'fatal' then 5 when 'unknown' then 6 else 0 end) >= 4 order by count desc, cluster_id limit 5""")
+def _(spark, sf):
+    store, out = shared_dir(spark, "store"), shared_dir(spark, "top")
+    lines = fx.as_lines(event_stream(spark, sf)).withColumn("source_label", F.col("source_id"))
+    ingest(lines, store, shared_dir(spark, "stream-checkpoint"), fx.sources(spark, sf), TEMPLATES, whole_files=True, trigger={"availableNow": True},
+           on_batch=lambda top, batch_id: top.write.mode("overwrite").parquet(out)).awaitTermination()
+    return spark.read.parquet(out).select("cluster_id", "count")
+
+
 @query("stream_live_entries", SQL["normalize_lines"])
 def _(spark, sf):
     store = shared_dir(spark, "store")
