@@ -297,7 +297,10 @@ def near_words(words: DataFrame, group: int = GROUP, group_chars: int = GROUP_CH
             (F.col("rows") > group) | (F.col("chars") > group_chars)) & (F.col("longest") - F.col("tail") - F.col("low") > 1)))
         stages.append(met)
         dealt = met.where("not split").select("longest", "shared", "low", "tail", "word", "n")
-        parts.append(dealt.repartition("longest", "shared").sortWithinPartitions("longest", "shared").mapInArrow(_compose, PAIR_TYPES))
+        # A stated number, since composing takes much time for few bytes: partitions must not be merged by size.
+        tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(tasks, "longest", "shared").sortWithinPartitions("longest", "shared")
+        parts.append(dealt.mapInArrow(_compose, PAIR_TYPES))
         rest = met.where("split")
         if rest.isEmpty():
             break
