@@ -3,8 +3,8 @@
 The kernel of two texts is the blended spectrum of n-gram presence: the number of byte
 n-grams of ``SIZES`` that both have, over the root of the product of their own numbers.
 N-grams are taken of whole texts in which A-Z is lower-cased and any ASCII byte that is no
-letter is a blank; those of three bytes and more are told apart by a hash of 15 bits or
-more, so that a text is a set of at most ``BINS`` features whatever its length.
+letter is a blank; those of three bytes and more are told apart by a hash of 16 or 17
+bits, so that a text is a set of at most ``BINS`` features whatever its length.
 
 Nystroem: ``LANDMARKS`` texts span the feature space, and a text is its kernel row against
 them times the inverse root of the landmarks' own kernel matrix. One ridge regression for
