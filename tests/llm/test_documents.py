@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import arrays, fuzzy_lines, licenses, mixing, neardup, perplexity, secrets, suffix_tree, token_files, winnow
 
@@ -263,12 +264,69 @@ def test_fuzzy_lines_keep_one_of_each_group(make_docs):
 
 
 def test_fuzzy_lines_count_edits_in_characters(make_docs):
-    # Words of up to three letters are not in the SimHash, so these are candidates.
     rows = [(1, "an alpha to bravo by charlie"), (2, "in alpha tu bravo by charlie"), (3, "zzz yyy xxx www vvv alpha bravo charlie")]
     got = {r.doc_id: r for r in fuzzy_lines.fuzzy_lines(make_docs(rows)).collect()}
     assert got[1].group_id == got[2].group_id != got[3].group_id and got[1].kept and not got[2].kept and got[3].kept
 
 
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_fuzzy_lines_find_nine_in_ten_similar_pairs_of_each_length(make_docs):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    rows, similar = [], {}
+    for length in (5, 10, 20, 40):
+        for _ in range(120):
+            line = [rng.choice(words) for _ in range(length)]
+            other = list(line)
+            for place in rng.sample(range(length), length // 5):
+                other[place] = rng.choice(words)
+            x, y, at = " ".join(line), " ".join(other), len(rows)
+            rows += [(at, x), (at + 1, y)]
+            if 5 * edit_distance(x, y) <= max(len(x), len(y)):
+                similar.setdefault(length, []).append(at)
+    groups = {r.doc_id: r.group_id for r in fuzzy_lines.fuzzy_lines(make_docs(rows)).collect()}
+    for length, pairs in similar.items():
+        assert len(pairs) > 50 and sum(groups[at] == groups[at + 1] for at in pairs) >= 0.9 * len(pairs), length
+    # No line meets an unrelated one: a group is a pair or a single line.
+    assert max(Counter(groups.values()).values()) == 2
+
+
+def test_fuzzy_lines_of_large_buckets_equal_brute_force(spark, make_docs):
+    # A passage that lines of all lengths share, with near copies, and one very long pair of lines.
+    passage = prose(1, 30)
+    lines = [f"{prose(100 + i, i % 9 * 10)} {passage} {prose(300 + i, 5 + i % 7)}".strip() for i in range(60)]
+    lines += [near_copy(x, i, 2) for i, x in enumerate(lines)]
+    long_line = prose(5, 20_000)
+    rows = list(enumerate(lines + [long_line, near_copy(long_line, 1, 3)]))
+    got = {r.doc_id: r for r in fuzzy_lines.fuzzy_lines(make_docs(rows)).collect()}
+    table = spark.createDataFrame(rows[:len(lines)], "i long, x string").repartition(8)
+    pairs = table.join(table.toDF("j", "y"), F.col("i") < F.col("j")).where(
+        "5 * levenshtein(x, y) <= greatest(length(x), length(y))").select("i", "j").collect()
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        low, high = sorted((find(i), find(j)))
+        root[high] = low
+    roots = [find(i) for i in range(len(lines))]
+    assert len(set(roots)) < len(lines) / 2
+    assert [got[i].kept for i in range(len(lines))] == [r == i for i, r in enumerate(roots)]
+    assert all(got[i].group_id == got[r].group_id for i, r in enumerate(roots))
+    assert got[len(lines)].group_id == got[len(lines) + 1].group_id
+
+
 def test_secrets_and_false_positives(make_docs):
     rng = random.Random(3)
     code = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
