@@ -77,6 +77,24 @@ def test_spike_state_survives_batches(spark, tmp_path, make_entries):
     assert strip(spark.read.parquet(out)) == strip(detect_spikes(entries)) != []
 
 
+def test_spike_names_its_service_in_any_arrow_batch(spark, tmp_path, make_entries):
+    from tracewell.operators.spikes import detect_spikes
+
+    # Several batches of a group reach the detector together, each with row numbers from 0.
+    rows = [(i, i * 30.0, "error", "q", "m") for i in range(20)] + [(100 + i, 601 + i * 0.004, "error", f"z{i}", "m") for i in range(400)]
+    entries = make_entries(rows)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    entries.coalesce(1).write.parquet(folder)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        found = detect_spikes_stream(spark.readStream.schema(entries.schema).parquet(folder))
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    strip = lambda df: sorted((r["detected_at"], r["rate"], round(r["baseline"], 6), r["service"]) for r in df.collect())
+    assert strip(spark.read.parquet(out)) == strip(detect_spikes(entries)) != []
+
+
 def test_known_fingerprints_keep_their_cluster(spark, make_entries, tmp_path):
     from tracewell.operators.clusters import with_fingerprint
     from tracewell.streaming.ingest import _with_kept_clusters

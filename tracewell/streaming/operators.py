@@ -87,7 +87,8 @@ def detect_spikes_stream(entries: DataFrame, key: str | None = None, window_secs
 
     def detect(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times, counts, average, last = state.get if state.exists else ([], [], 0.0, NEVER)
-        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
+        # Batches number their rows from 0 each; a row is looked up by its number below.
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "seq"])
         points = rows.groupby("us", sort=True, as_index=False).agg(n=("seq", "size"), at=("seq", "idxmin"))
         known = len(times)
         all_times = np.append(np.asarray(times, dtype=np.int64), points["us"].to_numpy())
