@@ -95,3 +95,21 @@ def test_fuzzy_entries_keep_their_fingerprint(make_entries):
     rows = [(0, 0, "error", "s", "connection to database lost"), (1, 1, "error", "s", "connection to databasf lost")]
     got = cluster_fuzzy(make_entries(rows)).orderBy("seq").collect()
     assert got[0]["cluster_id"] == got[1]["cluster_id"] == got[0]["fingerprint"] != got[1]["fingerprint"]
+
+
+def test_plan_and_driver_do_not_grow_with_the_prefixes(spark):
+    """Many prefixes leave as many scans in the plan as few, and their ends come from a fixed number of counts."""
+    rows = [(f"{i:016x}", f"{i * 7919 % 100003:06d} request {i * 31337 % 99991:05d} of {i * 104729 % 100019:06d}", i) for i in range(240)]
+    found = spark.createDataFrame(rows, "fingerprint string, template string, seq long")
+    scans = []
+    for options in ({"prefix_work": 2000, "smallest_prefix": 60}, {"prefix_work": 1, "smallest_prefix": 20}):
+        plan = cluster_templates(found, **options)._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("Relation "))
+    assert scans[0] == scans[1]
+
+    from tracewell.operators.fuzzy import _bound
+
+    # Nearly all rows lie in the first of the cells, so it is looked into again.
+    crowded = spark.range(5000).select(F.when(F.col("id") < 4990, F.col("id")).otherwise(F.col("id") * 10**12).cast("double").alias("_position"))
+    for count in (1, 40, 700, 5000):
+        assert count / 2 <= crowded.where(F.col("_position") <= _bound(crowded, count)).count() <= 2 * count
