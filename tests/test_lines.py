@@ -112,3 +112,26 @@ def test_merge_agrees_with_sequential_model(spark, chunk):
     df = spark.createDataFrame(rows, "source_id string, file string, line_no long, value string, more string")
     got = merge_stacktraces(df, chunk_lines=chunk).select("source_id", "file", "line_no", "value", "more", "stacktrace").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_plaintext_searches_once_for_each_pattern(spark):
+    from tracewell.operators.parsers import TEXT_EDGES, only_parsed, parse_plaintext
+
+    lines = spark.createDataFrame([("2026-01-01T00:00:00Z ERROR [pay] charge failed",), (" ",), ("plain",)], "value string")
+    parsed = only_parsed(parse_plaintext(lines)).select("parsed.*")
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(TEXT_EDGES) == 1
+    assert [(r.level, r.service, r.message) for r in parsed.collect()] == [("error", "pay", "pay] charge failed"), ("unknown", None, "plain")]
+
+
+def test_short_rows_of_one_row_group_reach_all_tasks(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracewell.plans import fixtures as fx
+
+    values = np.random.default_rng(1).integers(0, 1 << 62, (4, 800_000))
+    pq.write_table(pa.table({f"c{i}": v for i, v in enumerate(values)}), tmp_path / "events.parquet", row_group_size=1 << 20)
+    parts = [r["count"] for r in fx.table(spark, str(tmp_path), "events").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) > 4 and max(parts) < 1.5 * sum(parts) / len(parts)

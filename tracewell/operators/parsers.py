@@ -184,21 +184,30 @@ def parse_plaintext(df: DataFrame, line: str = "value", out: str = "parsed", whe
     """Leading time, first level word, first ``[service]`` and the remaining message."""
     text = F.col(line)
     some = ~is_blank(text) if when is None else (when & ~is_blank(text))
-    df = df.withColumn("_head", F.regexp_extract(F.when(some, text), UNICODE + TEXT_TIME, 0))
-    df = df.withColumn("_rest", F.expr(f"substring(`{line}`, length(_head) + 1)"))
+    # Each search is a column of its own: an expression that is used several times would be searched as often.
+    df = df.withColumn("_line", F.when(some, text))
+    df = df.withColumn("_head", F.regexp_extract("_line", UNICODE + TEXT_TIME, 0))
+    df = df.withColumns({
+        "_rest": F.expr("substring(_line, length(_head) + 1)"),
+        "_time": trim_blank(F.col("_head")),
+        "_spaced": F.regexp_extract("_line", TEXT_TIME_SPACED, 0),
+    })
     rest = F.col("_rest")
-    without_level = F.regexp_replace(rest, r"(?isuU)^(.*?)" + TEXT_LEVEL, "$1")
-    message = F.regexp_replace(without_level, TEXT_EDGES, "")
-    spaced = F.regexp_extract(text, TEXT_TIME_SPACED, 0)
+    df = df.withColumn("_level", F.regexp_extract(rest, "(?iuU)" + TEXT_LEVEL, 1))
+    without_level = F.when(F.col("_level") == "", rest).otherwise(F.regexp_replace(rest, r"(?isuU)^(.*?)" + TEXT_LEVEL, "$1"))
+    df = df.withColumn("_without", without_level)
+    df = df.withColumn("_message", F.regexp_replace("_without", TEXT_EDGES, ""))
+    df = df.withColumn("_service", F.regexp_extract(rest, UNICODE + TEXT_SERVICE, 1))
     parsed = _result(
-        F.coalesce(rfc3339(trim_blank(F.col("_head"))), rfc3339(spaced)),
-        parse_level(F.regexp_extract(rest, "(?iuU)" + TEXT_LEVEL, 1)),
-        F.nullif(F.regexp_extract(rest, UNICODE + TEXT_SERVICE, 1), F.lit("")),
-        F.when(message == "", trim_blank(rest)).otherwise(message),
+        F.coalesce(rfc3339(F.col("_time")), rfc3339(F.col("_spaced"))),
+        parse_level(F.col("_level")),
+        F.nullif(F.col("_service"), F.lit("")),
+        F.when(F.col("_message") == "", trim_blank(rest)).otherwise(F.col("_message")),
         "{}",
         "plaintext",
     )
-    return df.withColumn(out, F.when(some, parsed)).drop("_head", "_rest")
+    return df.withColumn(out, F.when(F.col("_line").isNotNull(), parsed)).drop(
+        "_line", "_head", "_rest", "_time", "_spaced", "_level", "_without", "_message", "_service")
 
 
 @dataclass(frozen=True)

@@ -28,7 +28,8 @@ DUCK_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    # A short event becomes a long line.
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), by_size=name == "events")
 
 
 def as_entries(events: DataFrame) -> DataFrame:
