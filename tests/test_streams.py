@@ -110,3 +110,10 @@ def test_known_fingerprints_keep_their_cluster(spark, make_entries, tmp_path):
     leader = found[0][first][0]
     assert found[0][first][1] == found[0][member][1] == found[2][member][1] == leader
     assert found[1][second][1] == found[1][second][0] != leader
+
+
+def test_stateful_merge_holds_no_whole_file(spark, tmp_path):
+    """A busy file is dealt by chunks of its lines, not held by one group."""
+    stream = merge_stacktraces_stream(split_stream(spark, tmp_path), flush_after_ms=None, whole_files=True)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "chunk" in plan and "FlatMapGroupsInPandasWithState" not in plan

@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewell.functions.formats import is_continuation
 from tracewell.functions.levels import at_least
 from tracewell.functions.times import from_micros, micros
 from tracewell.operators.spikes import ALPHA, FACTOR, NEVER, SECOND, WINDOW_SECS
 from tracewell.session import configure
+from tracewell.streaming.assemble import assemble_stream
+
+# Lines of a chunk of a stream: a task holds one chunk at a time, and each costs a call of Python.
+STREAM_CHUNK = 1 << 17
 
 
 def timeline_stream(entries: DataFrame, bucket_minutes: int = 5, watermark: str = "10 minutes") -> DataFrame:
@@ -31,42 +34,10 @@ def merge_stacktraces_stream(lines: DataFrame, flush_after_ms: int | None = 10_0
     A head line is held until the next head of its file arrives, or until nothing
     arrived for ``flush_after_ms``. None never flushes, which an ``availableNow``
     trigger needs in order to end. ``whole_files`` says that no file goes on in a later
-    micro-batch, so the last entry of a file comes with its lines. The state is one open entry per file. For a
-    stream dominated by few files use :func:`tracewell.streaming.ingest.ingest`,
-    which assembles each micro-batch in parallel chunks.
+    micro-batch, so the last entry of a file comes with its lines. Lines are dealt by chunks of a
+    file, as :func:`tracewell.streaming.assemble.assemble_stream` does, so no task holds all lines of a file.
     """
-    schema = "source_id string, file string, line_no long, value string, stacktrace array<string>"
-    state_schema = "line_no long, value string, trace array<string>"
-
-    def assemble(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, value, trace = state.get if state.exists else (None, None, [])
-        trace, out = list(trace), []
-        if state.hasTimedOut:
-            state.remove()
-            if number is not None:
-                out.append((*key, number, value, trace or None))
-        else:
-            rows = pd.concat(list(batches)).sort_values("line_no")
-            for line_no, text, continues in zip(rows["line_no"], rows["value"], rows["continues"]):
-                if continues:
-                    trace.append(text)
-                    continue
-                if number is not None:
-                    out.append((*key, number, value, trace or None))
-                    trace = []
-                number, value = line_no, text
-            if whole_files:
-                if number is not None:
-                    out.append((*key, number, value, trace or None))
-                number, value, trace = None, None, []
-            state.update((None if number is None else int(number), value, trace))
-            if flush_after_ms is not None:
-                state.setTimeoutDuration(flush_after_ms)
-        yield pd.DataFrame(out, columns=["source_id", "file", "line_no", "value", "stacktrace"])
-
-    marked = lines.select("source_id", "file", "line_no", "value", is_continuation(F.col("value")).alias("continues"))
-    timeout = GroupStateTimeout.NoTimeout if flush_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return marked.groupBy("source_id", "file").applyInPandasWithState(assemble, schema, state_schema, "append", timeout)
+    return assemble_stream(lines, flush_after_ms, whole_files, STREAM_CHUNK)
 
 
 def detect_spikes_stream(entries: DataFrame, key: str | None = None, window_secs: int = WINDOW_SECS, alpha: float = ALPHA,
