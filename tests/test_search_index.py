@@ -58,3 +58,19 @@ def test_feed_and_index_of_repeated_batches(spark, make_entries, tmp_path):
     out = str(tmp_path / "out")
     stream_feed(spark, store).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_words_are_cut_once_and_stay_with_their_entries(spark, make_entries, tmp_path):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import search_index as I
+
+    entries = make_entries([(i, float(i), "info", "s", f"word{i % 7} the end") for i in range(400)])
+    cut, counted = spark.sparkContext.accumulator(0), F.udf(lambda text: (cut.add(1), text)[1])
+    I.add_to_index(entries.repartition(3).withColumn("message", counted("message")), str(tmp_path / "index"), 0, ("message",))
+    assert cut.value == 400
+    for file in (tmp_path / "index").rglob("*.parquet"):
+        tokens = pq.ParquetFile(file).read(["token"]).column("token").to_pylist()
+        assert tokens == sorted(tokens)
+    assert I.index_matches(I.read_index(spark, str(tmp_path / "index")), "the").count() == 400

@@ -1,9 +1,9 @@
 """A positional full-text index that grows with the stored entries.
 
 A row is one occurrence of a word: ``date, token, column, id, position``. Each batch of entries adds
-its own folder, written once; within it files are ranges of words, so a look-up reads the row
-groups of its words only, and dates prune as they do in the entries. A frequent word is spread
-over many files by entry id. Words that must follow each other meet by the position at which
+its own folder, written once; within it files are sorted by word, so a look-up reads the row
+groups and pages of its words only, and dates prune as they do in the entries. A frequent word is
+spread over the files of its entries; a compacted index has ranges of words as files. Words that must follow each other meet by the position at which
 their run would start, so a phrase is one scan and one grouping, without joins.
 """
 
@@ -35,10 +35,13 @@ def occurrences(entries: DataFrame, columns=SEARCH_COLUMNS) -> DataFrame:
 
 
 def add_to_index(entries: DataFrame, path: str, batch: int, columns=SEARCH_COLUMNS) -> None:
-    """Write the words of a batch of new entries; a repeated batch changes nothing."""
-    found = occurrences(entries, columns)
-    spread = found.repartitionByRange("date", "token", "id").sortWithinPartitions("date", "token", "id")
-    write_once(spread, f"{path}/batch={batch}", "date")
+    """Write the words of a batch of new entries; a repeated batch changes nothing.
+
+    Words are cut, sorted and written where their entries are. Ranges of words over all files would have the
+    text cut twice, the first time to find the ranges, and every word shuffled.
+    """
+    found = occurrences(entries, columns).sortWithinPartitions("date", "token", "id")
+    write_once(found, f"{path}/batch={batch}", "date")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
