@@ -96,3 +96,22 @@ def test_scores_equal_a_tree_written_out(spark, share):
         n_tokens, n_known, total, base, score = expected[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (is_held_out(r.doc_id), n_tokens, n_known, total)
         assert r.base_score == pytest.approx(base, abs=1e-8) and r.score == pytest.approx(score, abs=1e-8)
+
+
+@pytest.mark.parametrize("sent", [suffix_tree.SENT, 5e-3])
+def test_rare_contexts_of_a_large_corpus_are_learned(spark, monkeypatch, sent):
+    monkeypatch.setattr(suffix_tree, "SENT", sent)
+    draw = random.Random(8)
+    # More than two occurrences in 1e-5 of all tokens: a text that occurs twice must still be known.
+    rows = [(i, " ".join(f"w{int(draw.paretovariate(0.6)) % 5000}" for _ in range(1200))) for i in range(250)]
+    planted = " ".join(f"rare{i}" for i in range(60))
+    twice = [i for i in range(1000, 1020) if not is_held_out(i)][:2]
+    rows += [(i, planted) for i in twice]
+    expected, _ = written_out(rows, 0.0)
+    got = {r.doc_id: r for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == expected.keys() and got[0].train_tokens * 1e-5 > 2
+    for doc_id, (n_tokens, n_known, total, base, score) in expected.items():
+        r = got[doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, total)
+        assert r.base_score == pytest.approx(base, abs=1e-7) and r.score == pytest.approx(score, abs=1e-7)
+    assert got[twice[0]].score > 0.5 * got[twice[0]].base_score
