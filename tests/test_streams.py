@@ -7,7 +7,7 @@ from tracewell.operators.clusters import cluster_summary
 from tracewell.operators.normalize import normalize_lines
 from tracewell.sinks.tables import read_snapshot, read_table
 from tracewell.sources.files import read_log_dir
-from tracewell.streaming.ingest import ingest
+from tracewell.streaming.ingest import _enriched, assemble_batch, ingest
 from tracewell.streaming.operators import detect_spikes_stream, merge_stacktraces_stream
 from tracewell.streaming.sources import stream_log_files
 
@@ -117,3 +117,12 @@ def test_stateful_merge_holds_no_whole_file(spark, tmp_path):
     stream = merge_stacktraces_stream(split_stream(spark, tmp_path), flush_after_ms=None, whole_files=True)
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "chunk" in plan and "FlatMapGroupsInPandasWithState" not in plan
+
+
+def test_entries_of_one_busy_file_are_parsed_by_many_tasks(spark):
+    lines = spark.range(3000).selectExpr("'s' as source_id", "'S' as source_label", "'app.log' as file", "id as line_no",
+                                         "concat('2026-01-01T00:00:00Z ERROR [pay] charge ', id, ' failed') as value", "timestamp_ntz'2026-01-01' as ingested_at")
+    complete, still_open = assemble_batch(lines, None)
+    assert (complete.count(), [r.line_no for r in still_open.collect()]) == (2999, [2999])
+    parsed = _enriched(complete, 0, "", None, (), False, {})
+    assert parsed.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

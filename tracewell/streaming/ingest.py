@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracewell.functions.formats import is_continuation
 from tracewell.functions.levels import level_of_rank
 from tracewell.operators.assemble import merge_stacktraces
 from tracewell.operators.clusters import SAMPLES, cluster_summary, top_errors, with_fingerprint
@@ -56,14 +57,14 @@ def assemble_batch(lines: DataFrame, pending: DataFrame | None, whole_files: boo
     merged = merge_stacktraces(lines)
     if whole_files:
         return merged, lines.limit(0)
-    heads = merged.groupBy("source_id", "file").agg(
-        F.max("line_no").alias("_last"), F.count("*").alias("_heads")
-    )
-    complete = merged.join(heads, ["source_id", "file"]).where(F.col("line_no") < F.col("_last")).drop("_last", "_heads")
+    # One row a file, written so that its size is known: joined by file, all lines of a file would meet in one task.
+    numbers = lines.where(~is_continuation(F.col("value"))).groupBy("source_id", "file")
+    heads = cut_lineage(numbers.agg(F.min("line_no").alias("_first"), F.max("line_no").alias("_last")))
+    complete = merged.join(heads, ["source_id", "file"]).where(F.col("line_no") < F.col("_last")).drop("_first", "_last")
     # A file keeps all its lines while it has no complete entry.
     left = lines.join(heads, ["source_id", "file"], "left")
     still_open = left.where(
-        F.col("_heads").isNull() | (F.col("_heads") == 1) | (F.col("line_no") >= F.col("_last"))
+        F.col("_last").isNull() | (F.col("_first") == F.col("_last")) | (F.col("line_no") >= F.col("_last"))
     ).select(*LINES.names)
     return complete, still_open
 
@@ -103,7 +104,9 @@ def stream_feed(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _enriched(complete: DataFrame, batch_id: int, store: str, sources, templates, fuzzy: bool, options: dict) -> DataFrame:
-    entries = normalize_lines(complete, sources, templates, **options)
+    # Few bytes are much work for the parsers, so the lines are dealt by number.
+    dealt = complete.repartition(int(complete.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entries = normalize_lines(dealt, sources, templates, **options)
     return _with_kept_clusters(entries, batch_id, store) if fuzzy else entries
 
 
