@@ -104,3 +104,18 @@ def test_many_ranges_of_one_file_are_read_by_many_tasks(spark, tmp_path):
     found = spark.read.parquet(str(out))
     assert found.select("task").distinct().count() > 5
     assert [r.value.split()[1] for r in found.orderBy("line_no").collect()] == [str(i) for i in range(5000)]
+
+
+def test_log_files_are_written_up_to_a_line_by_batches(spark, tmp_path):
+    from tracewell.plans.fixtures import write_logs
+    rows = [(s, 10 * i, f"{s} line {i}") for i in range(40) for s in ("a", "b", "c")]
+    lines = spark.createDataFrame(rows, "source_id string, line_no long, value string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for until, whole in ((200, 20), (None, 40), (0, 0)):
+            write_logs(lines, str(tmp_path / "logs"), until)
+            for s in "abc":
+                torn = f"{s} line {whole}"[:5] if whole < 40 else ""
+                assert (tmp_path / "logs" / f"{s}.log").read_text() == "".join(f"{s} line {i}\n" for i in range(whole)) + torn
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -5,6 +5,8 @@ Both sides build the same rows, so that a query and its SQL see the same input.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.session import configure, shared_dir, spread
@@ -161,26 +163,34 @@ def write_logs(lines: DataFrame, folder: str, until: int | None) -> None:
 
     A later call with a higher number leaves files that begin alike, as if the rest had been appended.
     """
-    def write(rows) -> None:
+    def write(batches):
         system, root = open_file_system(folder)
         name, file, torn = None, None, False
-        for row in rows:
-            if row.source_id != name:
-                if file is not None:
-                    file.close()
-                name, torn = row.source_id, False
-                file = system.open_output_stream(f"{root}/{name}.log")
-            if until is None or row.line_no < until:
-                file.write(f"{row.value}\n".encode())
-            elif not torn:
-                file.write(row.value[:5].encode())
-                torn = True
+        for batch in batches:
+            names, numbers, values = (column.to_pylist() for column in batch.columns)
+            low = 0
+            while low < len(names):
+                if names[low] != name:
+                    if file is not None:
+                        file.close()
+                    name, torn = names[low], False
+                    file = system.open_output_stream(f"{root}/{name}.log")
+                high = bisect.bisect_right(names, name, low)
+                end = high if until is None else bisect.bisect_left(numbers, until, low, high)
+                if end > low:
+                    file.write(("\n".join(values[low:end]) + "\n").encode())
+                if end < high and not torn:
+                    file.write(values[end][:5].encode())
+                    torn = True
+                low = high
+            yield batch.slice(0, 0)
         if file is not None:
             file.close()
 
     system, root = open_file_system(folder)
     system.create_dir(root)
-    lines.select("source_id", "line_no", "value").repartition("source_id").sortWithinPartitions("source_id", "line_no").foreachPartition(write)
+    ordered = lines.select("source_id", "line_no", "value").repartition("source_id").sortWithinPartitions("source_id", "line_no")
+    ordered.mapInArrow(write, ordered.schema).write.format("noop").mode("overwrite").save()
 
 
 def write_log_folder(spark: SparkSession, sf_dir: str) -> str:
