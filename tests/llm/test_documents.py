@@ -327,6 +327,28 @@ def test_fuzzy_lines_of_large_buckets_equal_brute_force(spark, make_docs):
     assert got[len(lines)].group_id == got[len(lines) + 1].group_id
 
 
+def test_fuzzy_lines_link_lines_without_a_common_key(make_docs):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randrange(6, 9))) for _ in range(200)]
+    lines = ["chimney", "chimneys", "green apple", "green apples", "abc", "abd", "größen", "grössen", "größem"]
+    for length in (1, 2, 3, 6, 15, 60):
+        for _ in range(6):
+            line = [rng.choice(words) for _ in range(length)]
+            # One letter of every word is another one: no word stays, but more than 80 percent of the characters do.
+            lines += [" ".join(line), " ".join(w[:k] + "x" + w[k + 1:] for w in line for k in [rng.randrange(len(w))])]
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r for r in fuzzy_lines.fuzzy_lines(make_docs(rows)).collect()}
+    root = list(range(len(lines)))
+    for i, x in rows:
+        for j in range(i):
+            if 5 * edit_distance(x, lines[j]) <= max(len(x), len(lines[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert all(root[i + 1] == root[i] for i in range(9, len(lines), 2))
+    assert [got[i].kept for i in range(len(lines))] == [r == i for i, r in enumerate(root)]
+    assert all(got[i].group_id == got[r].group_id for i, r in enumerate(root))
+
+
 def test_secrets_and_false_positives(make_docs):
     rng = random.Random(3)
     code = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
