@@ -89,3 +89,14 @@ def test_sums_of_texts_come_back_by_slices(spark, monkeypatch, tmp_path):
     expected = written_out(texts, 2)
     assert all(got[i] == pytest.approx(-41 * expected(t), abs=1e-6) for i, t in enumerate(texts))
     assert sum(map(int, (tmp_path / "rows").read_text().split())) < len(texts) / 4
+
+
+def test_runs_that_occur_once_are_in_the_model(spark):
+    # Pairs and triples below any least count, in texts with and without copies, at the start and at the end.
+    texts = ["a b c d", "a b c e", "b c d a b", "once only", "x", "", "a b c d", "c d a b x y", "b b b b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    expected = written_out(texts, 1)
+    got = {r.key: r.logs for r in perplexity.text_logs(rows).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(-(len(t.split()) + 1) * expected(t), abs=1e-9)
