@@ -126,3 +126,34 @@ def test_entries_of_one_busy_file_are_parsed_by_many_tasks(spark):
     assert (complete.count(), [r.line_no for r in still_open.collect()]) == (2999, [2999])
     parsed = _enriched(complete, 0, "", None, (), False, {})
     assert parsed.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_one_rolled_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from tracewell.streaming import sources
+
+    folder = tmp_path / "rolled"
+    folder.mkdir()
+    long = "".join(f"line {i} {'x' * (i * 7 % 90)}{chr(13) if i % 5 == 0 else ''}\n{chr(10) if i % 11 == 0 else ''}" for i in range(400))
+    texts = {"a b%20#1.log": long.encode() + b"no end", "b.log": b"", "c.log": "﻿ü\n".encode() + b"bad \xff\xed\xa0\x80\n\n \n", "d.log": b"x" * 5000 + b"\ny"}
+    for name, text in texts.items():
+        (folder / name).write_bytes(text)
+    (folder / "e.log.gz").write_bytes(gzip.compress(long.encode()))
+    monkeypatch.setattr(sources, "RANGE_BYTES", 700)
+
+    def rows(max_files):
+        found = []
+        stream = stream_log_files(spark, str(folder), "s", pattern="*.log*", max_files=max_files).withColumn("task", F.spark_partition_id())
+        query = stream.writeStream.foreachBatch(lambda batch, batch_id: found.extend(batch.collect())).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return found
+
+    got = rows(1)
+    assert len({r.task for r in got if r.source_label.startswith("a")}) > 1
+    key = lambda found: sorted((r.file, r.source_label, r.line_no, r.value, r.ingested_at) for r in found)
+    for max_files in (1, None):
+        found = got if max_files else rows(None)
+        with monkeypatch.context() as m:
+            m.setattr(sources, "_known", lambda *_: False)
+            assert key(found) == key(rows(max_files)) and len(found) == 806
